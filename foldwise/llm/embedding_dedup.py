@@ -18,10 +18,10 @@ from .tiles import Tile, linked_in_buckets
 PER_BUCKET, MISSED = 200, 1e-4
 
 
-def plan(n: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+def plan(n: int, threshold: float, missed: float = MISSED, per_bucket: int = PER_BUCKET) -> tuple[int, int]:
     """Bits of a key and number of tables for n vectors: keys of more bits as n grows, and so many
     tables that a pair exactly at the threshold shares no bucket with probability `missed`."""
-    bits = max(4, min(24, round(math.log2(max(n, 1) / PER_BUCKET)) if n else 4))
+    bits = max(4, min(24, round(math.log2(max(n, 1) / per_bucket)) if n else 4))
     hit = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(missed) / math.log1p(-hit))) if hit < 1 else 1
 

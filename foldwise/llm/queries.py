@@ -27,7 +27,9 @@ def _module(name: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(_module(name), name) for name in _MODULES}
+    import corpus_pipeline
+
+    return {name: getattr(_module(name), name) for name in _MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

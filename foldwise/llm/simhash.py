@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import LOWER, table, written
 from .components import connected_components
@@ -16,48 +19,58 @@ from .tiles import Tile, linked_in_buckets
 _LANES = 255  # rows that sum in lanes of eight bits
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: bit b is set where over half the shingles' XXH64 have it.
-
-    Repeated shingles count each time. A text of fewer words is one shingle; one of none (null, empty,
-    white space) has fingerprint 0.
-    """
+def _shingles(text: str | None, words: int, distinct: bool, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text with A-Z lower-cased; fewer words make one shingle, none make none."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return 0
-    if len(tokens) <= words:
-        shingles: Iterator[bytes] = iter([b" ".join(tokens)])
-    else:
-        shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
-    h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), "<u8")
-    total = np.zeros(64, np.int64)
-    for lo in range(0, len(h), _LANES * 256):
-        bits = np.unpackbits(h[lo : lo + _LANES * 256].view(np.uint8), bitorder="little").view("<u8").reshape(-1, 8)
-        for k in range(0, len(bits), _LANES):
-            total += np.add.reduce(bits[k : k + _LANES], axis=0).view(np.uint8)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """`docs` without its text, with `fp` long (the fingerprint's bits)."""
+        return np.empty(0, "<u8")
+    shingles = [b" ".join(tokens)] if len(tokens) <= words else map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
+    return np.fromiter((xxh64_intdigest(s, seed) for s in (set(shingles) if distinct else shingles)), "<u8")
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool = False, seed: int = 42) -> np.ndarray:
+    """The SimHash of a text in lanes of 64 bits: a bit is set where over half the shingles' hashes have it.
+
+    The first lane's hashes are the shingles' XXH64, the others' follow from these. Repeated shingles
+    count each time unless distinct. A text of no words (null, empty, white space) has only zeros.
+    """
+    h = _shingles(text, words, distinct, seed)
+    out = np.zeros(lanes, "<u8")
+    for lane in range(lanes if len(h) else 0):
+        x = h
+        if lane:
+            x = (h + np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+        total = np.zeros(64, np.int64)
+        for lo in range(0, len(x), _LANES * 256):
+            bits = np.unpackbits(x[lo : lo + _LANES * 256].view(np.uint8), bitorder="little").view("<u8").reshape(-1, 8)
+            for k in range(0, len(bits), _LANES):
+                total += np.add.reduce(bits[k : k + _LANES], axis=0).view(np.uint8)
+        out[lane] = np.packbits(total * 2 > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """`docs` without its text, with `fp`: the fingerprint's bits, a long, or binary if of several lanes."""
     keep = [c for c in docs.columns if c != text]
     source = docs.select(*keep, F.col(text).cast("string").alias("fp"))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType() if lanes == 1 else BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(len(keep))], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps)], names=[*keep, "fp"])
+            fps = [fingerprint(t.as_py(), words, lanes, distinct) for t in batch.column(len(keep))]
+            found = pa.array(np.array(fps, "<u8").reshape(-1).view("<i8")) if lanes == 1 else pa.array([x.tobytes() for x in fps], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, "fp"])
 
     return source.mapInArrow(run, schema)
 
 
 class Within:
-    """The pairs of two tiles at `radius` differing bits or fewer, once for each pair of fingerprints.
+    """The pairs of two tiles at `radius` differing bits or fewer. Fingerprints are the ids (one lane) or
+    the payload (several).
 
     Blocks whose population counts differ by more than the radius are skipped; the others are compared
     by exclusive-or and bit counts. A pair that agrees in several bands is found in each of them, which
@@ -69,15 +82,21 @@ class Within:
     def __init__(self, radius: int) -> None:
         self.radius = radius
 
+    def read(self, tile: Tile) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes and population counts."""
+        ids, counts, payload = tile
+        if payload[0] is None:
+            return ids.view(np.uint64)[None], counts
+        return np.frombuffer(b"".join(map(bytes, payload)), "<u8").reshape(len(payload), -1).T.copy(), counts
+
     def __call__(self, left: Tile, right: Tile | None) -> tuple[np.ndarray, np.ndarray]:
-        a, pa_, (b, pb, _) = left[0].view(np.uint64), left[1], right or left
-        b, ii, jj = b.view(np.uint64), [], []
+        (a, p_all), (b, q_all), ii, jj = self.read(left), self.read(right or left), [], []
         for x in range(0, len(a), self.block):
             for y in range(x if right is None else 0, len(b), self.block):
-                p, q = pa_[x : x + self.block], pb[y : y + self.block]
+                p, q = p_all[x : x + self.block], q_all[y : y + self.block]
                 if max(p[0], q[0]) - min(p[-1], q[-1]) > self.radius:
                     continue
-                near = np.bitwise_count(a[x : x + self.block, None] ^ b[None, y : y + self.block]) <= self.radius
+                near = sum(np.bitwise_count(a[lane][x : x + self.block, None] ^ b[lane][None, y : y + self.block]).astype(np.int16) for lane in range(len(a))) <= self.radius
                 i, j = np.nonzero(np.triu(near, 1) if right is None and x == y else near)
                 ii.append(i + x)
                 jj.append(j + y)
@@ -98,18 +117,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     edges = [64 * k // bands for k in range(bands + 1)]
     keys = [F.lit(k << 32) + F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
     rows = nodes.select(F.explode(F.array(*keys)).alias("bucket"), F.bit_count("fp").cast("int").alias("ord"), F.col("fp").alias("id"), F.lit(None).cast("binary").alias("payload"))
-    links = linked_in_buckets(rows, Within(radius), "simhash")
-    parts = connected_components(links.select("a", "b"))
-    named = parts.join(nodes, F.col("node") == F.col("fp"))
+    return _grouped(fps, nodes.withColumn("node", F.col("fp")), linked_in_buckets(rows, Within(radius), "simhash"))
+
+
+def _grouped(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, fp, component) from rows (id, fp), nodes (node, fp, least) and links between nodes."""
+    named = connected_components(links.select("a", F.col("b"))).join(nodes.select("node", "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("group_id"))
-    linked = written(named.join(least, "component").select("fp", "group_id"), "linked")
-    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("group_id", "least").alias("component"))
+    linked = written(named.join(least, "component").select("node", "group_id"), "linked")
+    known = nodes.join(linked, "node", "left").select("fp", F.coalesce("group_id", "least").alias("component"))
     return fps.join(known, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, radius: int = 3) -> DataFrame:
-    """`docs` with the row of the smallest id of each component; rows with null ids stay."""
-    keep = near_duplicates(docs, id_col, text, words, radius).where("id = component or id is null").select(F.col("id").alias("__id")).distinct()
+#: Lanes of the wide fingerprints, and the share of pairs just at the similarity that may share no bucket.
+WIDE, MISSED, PER_BUCKET = 8, 0.005, 64
+
+
+def radius_of(similarity: float, lanes: int = WIDE) -> int:
+    """Differing bits that two texts of this Jaccard similarity have at most, in all but about 1 of 15 cases.
+
+    Sets of similarity j have a cosine of at least 2j / (1 + j); a bit differs with the share of their
+    angle, and 1.5 standard deviations are allowed for.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * lanes * share + 1.5 * math.sqrt(64 * lanes * share * (1 - share)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp binary, component): groups of texts whose distinct shingles have the similarity or more.
+
+    Radii of a few bits miss most such pairs, as these differ in about a seventh of the bits. So
+    fingerprints are wide, and tiles are formed within buckets of sampled bits, as many tables of as many
+    bits as the number of fingerprints asks for (see `plan`); within a bucket all are compared by
+    exclusive-or and bit counts. Nulls, repeats and empty tables are as in `near_duplicates`.
+    """
+    from .embedding_dedup import plan
+
+    fps = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words, lanes=WIDE, distinct=True), "wide")
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bits, tables = plan(nodes.count(), 2 * similarity / (1 + similarity), MISSED, PER_BUCKET)
+    places = np.array([np.random.default_rng([11, t]).choice(64 * WIDE, bits, replace=False) for t in range(tables)])
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                batch = whole.iloc[lo : lo + 1000]
+                all_bits = np.unpackbits(np.frombuffer(b"".join(batch.fp), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+                ones = all_bits.sum(axis=1, dtype=np.int32)
+                for t, at in enumerate(places):
+                    yield pd.DataFrame({"bucket": all_bits[:, at].astype(np.int64) @ (1 << np.arange(bits)) | t << 32, "ord": ones, "id": batch.node.to_numpy(), "payload": batch.fp.tolist()})
+
+    rows = nodes.select("node", "fp").mapInPandas(deal, "bucket long, ord int, id long, payload binary")
+    return _grouped(fps, nodes, linked_in_buckets(rows, Within(radius_of(similarity)), "wide"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with the row of the smallest id of each group of near copies; rows with null ids stay."""
+    keep = near_copies(docs, id_col, text, words, similarity).where("id = component or id is null").select(F.col("id").alias("__id")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
 
 

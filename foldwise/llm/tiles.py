@@ -104,7 +104,7 @@ def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Call
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in build(batches):
-            yield out.reindex(columns=columns).astype({"low": "Int32", "high": "Int32", "bucket": "Int64"})
+            yield out.reindex(columns=columns).astype({"low": "Int32", "high": "Int32", "bucket": "Int64", "tile": object, "ids": object, "payload": object})
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
