@@ -9,6 +9,8 @@ integers, so readers can go to records in any order.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,14 +31,17 @@ _LANE = 64  # bytes of a lane in the checksum's parallel part
 
 @cache
 def _crc_tables() -> tuple[np.ndarray, list[int], list[list[int]]]:
-    """CRC-32C by byte, the same as a list, and the effect of _LANE zero bytes on each byte of a checksum."""
+    """CRC-32C by two bytes, by one as a list, and the effect of _LANE zero bytes on each byte of a checksum."""
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(0x82F63B78), t >> 1).astype(np.uint32)
     state = (np.arange(256, dtype=np.uint32)[None, :] << np.array([0, 8, 16, 24], np.uint32)[:, None]).astype(np.uint32)
     for _ in range(_LANE):
         state = t[state & 0xFF] ^ (state >> 8)
-    return t, t.tolist(), state.tolist()
+    two = np.arange(1 << 16, dtype=np.uint32)
+    for _ in range(2):
+        two = t[two & 0xFF] ^ (two >> 8)
+    return two, t.tolist(), state.tolist()
 
 
 def crc32c(data: bytes) -> int:
@@ -62,8 +67,8 @@ def crc32c_many(blocks: list[bytes]) -> list[int]:
     if len(at):
         data[at[:, None] + np.arange(4)] ^= 255
     state = np.zeros(len(data) // _LANE, np.uint32)
-    for row in data.reshape(-1, _LANE).T.copy():
-        state = t[(state ^ row) & 0xFF] ^ (state >> 8)
+    for row in data.view("<u2").reshape(-1, _LANE // 2).T.copy():
+        state = t[(state ^ row) & 0xFFFF] ^ (state >> 16)
     states, out, lo = state.tolist(), [], 0
     for block, n, few in zip(blocks, lanes, small, strict=True):
         crc = 0
@@ -111,38 +116,75 @@ def store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:", "file://", 1))
 
 
+# The pre-tokenizer's pattern that fast texts are split by here, in lower-cased Latin-1, where
+# the library's Unicode classes come to these.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+")
+#: What keeps a text from that: characters beyond Latin-1's printable ones (in these, NFC changes nothing
+#: and lower case is one character), and what may begin a special token.
+_OTHER = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xff]|<\\|")
+_PROBE = "It's WE'LL, \xc9t\xe9 (1\xb2)!? a_b\xa1x''s"
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pre-tokenizer never joins across U+0020.
 
-    Words between spaces then encode alone. New words are encoded many in one text, kept apart by a
-    special token, which the tokenizer splits off first; words that hold that token go alone.
+    Texts of Latin-1 characters are split as the pre-tokenizer splits them, and each new part is encoded
+    once by the tokenizer's own model, many in one text, told apart by the ends of words that the model
+    marks. Other texts, and all texts of tokenizers that don't split so, are parted at spaces; their new
+    words are encoded whole, many in one text, kept apart by a special token, which the tokenizer splits off
+    first; words that hold that token go alone.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.normalized)), None)
-        self.pieces = Pieces(self._encode)
+        self.words = Pieces(self._encode_words)
+        self.parts = None
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.core = Tokenizer(self.tokenizer.model)
+            self.core.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.parts = Pieces(self._encode_parts)
+            if self.parts([_PARTS.findall(_PROBE.lower())]) != [self._ids(_PROBE).tobytes()]:
+                self.parts = None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(parts), 50):
+            ids = np.array(self.core.encode_batch_fast([" ".join(parts[lo : lo + 50])], add_special_tokens=False)[0].ids, self.dtype)
+            data, at = ids.tobytes(), 0
+            for end in ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         mark = self.mark and self.mark[1]
-        plain = [w for w in words if mark and mark not in w]
-        found: dict[str, bytes] = {w: self._ids(w).tobytes() for w in words if not mark or mark in w}
-        parts = [plain[lo : lo + 50] for lo in range(0, len(plain), 50)]
-        for part, x in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = split_at(np.array(x.ids, self.dtype), self.mark[0])
+        found = {w: self._ids(w).tobytes() for w in words if not mark or mark in w}
+        rest = [w for w in words if w not in found]
+        for lo in range(0, len(rest), 50):
+            part = rest[lo : lo + 50]
+            ids = split_at(np.array(self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, self.dtype), self.mark[0])
             found.update(zip(part, ids if len(ids) == len(part) else [self._ids(w).tobytes() for w in part], strict=True))
         return [found[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.pieces([t.split(" ") for t in texts])
+        fast = [k for k, t in enumerate(texts) if self.parts and not _OTHER.search(t)]
+        out = dict(zip(fast, self.parts([_PARTS.findall(texts[k].lower()) for k in fast]) if fast else [], strict=True))
+        slow = [k for k in range(len(texts)) if k not in out]
+        out.update(zip(slow, self.words([texts[k].split(" ") for k in slow]) if slow else [], strict=True))
+        return [out[k] for k in range(len(texts))]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -3,37 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers in each of two generations; which are remembered changes no result.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers once they are met again, and of those met once; which are remembered
+#: changes no result.
+REMEMBERED, MET = 250_000, 150_000
 
 
 class Pieces:
-    """Remembers the encoded bytes of pieces; `encode` takes a list of new pieces at once.
-
-    When the younger generation is full it becomes the older one; pieces still in use move over.
-    """
+    """Remembers the encoded bytes of pieces; `encode` takes a list of new pieces at once."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.known, self.older = encode, {}, {}
+        self.encode, self.known, self.met = encode, {}, {}
 
     def __call__(self, texts: list[list[str]]) -> list[bytes]:
         """For each text, given as its pieces, the encoded pieces joined."""
+        if len(self.met) > MET:
+            self.met = {}
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = set(chain.from_iterable(texts)).difference(known)
-        if new and older:
-            moved = new.intersection(older)
-            known.update(zip(moved, map(older.__getitem__, moved)))
-            new -= moved
-        if new:
-            pieces = list(new)
-            known.update(zip(pieces, self.encode(pieces), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+            self.known, self.met = {}, self.known
+        known, met = self.known, self.met
+        found = [list(map(known.get, pieces)) for pieces in texts]
+        gaps = [[k for k, x in enumerate(row) if x is None] for row in found]
+        new = {pieces[k] for pieces, at in zip(texts, gaps, strict=True) for k in at}
+        again = new.intersection(met)
+        now = {p: met.pop(p) for p in again}
+        known.update(now)
+        fresh = list(new - again)
+        fresh = dict(zip(fresh, self.encode(fresh), strict=True)) if fresh else {}
+        met.update(fresh)
+        now |= fresh
+        for pieces, row, at in zip(texts, found, gaps, strict=True):
+            for k in at:
+                row[k] = now[pieces[k]]
+        return list(map(b"".join, found))
 
 
 def slices(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
