@@ -21,7 +21,7 @@ from .common import table
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 13
 #: Bounds of what the driver gets to fit on: about so many rows, in equal shares of the languages.
-SAMPLE, MOST_LANGUAGES = 4000, 256
+SAMPLE, MOST_LANGUAGES = 3000, 256
 LETTER = re.compile(r"[^\W\d_]")
 #: Best and second probability closer than this: ambiguous.
 CLOSE = 0.2
@@ -97,16 +97,15 @@ class Coder:
         return self.languages[first], float(p[first]), bool(p[first] - second < CLOSE)
 
 
-def fit(sample: list[tuple[str, np.ndarray]], steps: int = 150, rate: float = 0.05) -> Coder:
-    """Fits from (language, frequencies) rows; the features are scaled so that common grams don't rule."""
-    languages = sorted({lang for lang, _ in sample})
+def fit(langs: list[str], x: np.ndarray, steps: int = 150, rate: float = 0.05) -> Coder:
+    """Fits from languages and rows of frequencies, which are scaled in place so that common grams don't rule."""
+    languages = sorted(set(langs))
     codes = codewords(len(languages))
     if len(languages) < 2:
         return Coder(languages, codes, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
-    x = np.array([f for _, f in sample], np.float32)
     scale = (1 / np.sqrt(x.mean(0) + 1e-4)).astype(np.float32)
     x *= scale
-    y = codes[[languages.index(lang) for lang, _ in sample]].astype(np.float32)
+    y = codes[[languages.index(lang) for lang in langs]].astype(np.float32)
     w, b = np.zeros((BUCKETS, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -126,22 +125,29 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 
 
 def fit_sample(rows: DataFrame) -> Coder:
-    """A coder from rows (text, lang). A bounded sample by hashes, about SAMPLE rows in all, is used."""
+    """A coder from rows (text, lang). A bounded sample by hashes, about SAMPLE rows in all and never
+    over twice that, is used."""
     known = rows.where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return fit([])
+        return fit([], np.zeros((0, BUCKETS), np.float32))
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE / len(counts) / r["count"]))))
     chance = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 30)) / (1 << 30)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"lang": batch.lang, "x": [frequencies(t).astype("<f4").tobytes() for t in batch.text]})
-
-    drawn = known.where(chance < share[F.col("lang")]).limit(2 * SAMPLE).select("lang", "text").mapInPandas(features, "lang string, x binary")
-    return fit([(r["lang"], np.frombuffer(r["x"], "<f4")) for r in drawn.toLocalIterator()])
+            rows = [frequencies(t) for t in batch.text]
+            at = [np.flatnonzero(f) for f in rows]
+            yield pd.DataFrame({"lang": batch.lang, "at": [k.astype("<u2").tobytes() for k in at], "x": [f[k].astype("<f4").tobytes() for f, k in zip(rows, at, strict=True)]})
+
+    drawn = known.where(chance < share[F.col("lang")]).select("lang", "text").mapInPandas(features, "lang string, at binary, x binary")
+    langs, x = [], np.zeros((2 * SAMPLE, BUCKETS), np.float32)  # the shares make about half of these rows
+    for k, r in zip(range(2 * SAMPLE), drawn.toLocalIterator(), strict=False):
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
+        langs.append(r["lang"])
+    return fit(langs, x[: len(langs)])
 
 
 def identified(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
