@@ -88,12 +88,30 @@ def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, w / np.sqrt((w * w).sum(axis=1, keepdims=True))
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Dense scaled features of words, for the few that are fitted on."""
-    out = np.zeros((len(words), ALPHABET**LENGTH), np.float32)
+@dataclass
+class Features:
+    """Scaled subsequence weights of words, as padded rows of places and weights."""
+
+    at: np.ndarray
+    weight: np.ndarray
+
+    def dot(self, dense: np.ndarray) -> np.ndarray:
+        """Products with a dense vector over all subsequences: kernels, if it is another word's."""
+        return (dense[self.at] * self.weight).sum(axis=1, dtype=np.float64)
+
+    def dense(self, k: int) -> np.ndarray:
+        out = np.zeros(ALPHABET**LENGTH, np.float32)
+        np.add.at(out, self.at[k], self.weight[k])
+        return out
+
+
+def features(words: list[str]) -> Features:
+    """Features of the few words that are fitted on; no word is longer than WINDOW."""
+    width = len(_triples(WINDOW + 2)[0])
+    out = Features(np.zeros((len(words), width), np.int32), np.zeros((len(words), width), np.float32))
     for k, word in enumerate(words):
         c, w = subsequences(np.array([letters(word)]))
-        np.add.at(out[k], c[0], w[0].astype(np.float32))
+        out.at[k, : c.shape[1]], out.weight[k, : c.shape[1]] = c[0], w[0]
     return out
 
 
@@ -150,30 +168,32 @@ def sentences(text: str, scorer: Scorer) -> list[tuple[str, float]]:
     return list(zip(found, scorer.machine.probability(np.array(scorer(found))).tolist(), strict=True))
 
 
-def _landmarks(x: np.ndarray, n: int) -> list[int]:
-    """Rows that differ most from those picked before (pivoted Cholesky)."""
-    left, basis, picked = np.ones(len(x)), np.zeros((len(x), 0)), []
-    for _ in range(min(n, len(x))):
+def _landmarks(x: Features, n: int) -> list[np.ndarray]:
+    """The words, as dense vectors, that differ most from those picked before (pivoted Cholesky)."""
+    count = len(x.at)
+    left, basis, picked = np.ones(count), np.zeros((count, 0)), []
+    for _ in range(min(n, count)):
         k = int(left.argmax())
         if left[k] < 1e-6:
             break
-        column = (x @ x[k] - basis @ basis[k]) / np.sqrt(left[k])
+        picked.append(x.dense(k))
+        column = (x.dot(picked[-1]) - basis @ basis[k]) / np.sqrt(left[k])
         basis = np.column_stack([basis, column])
         left = np.maximum(left - column**2, 0)
-        picked.append(k)
     return picked
 
 
 def fit_machine(positive: list[str], negative: list[str], ridge: float = 0.3) -> Machine:
     """A squared-hinge machine on Nystroem features; the classes weigh alike."""
     pos, neg = features(positive), features(negative)
-    marks = np.concatenate([pos[_landmarks(pos, LANDMARKS // 2)], neg[_landmarks(neg[:4000], LANDMARKS // 2)]])
+    marks = np.array([*_landmarks(pos, LANDMARKS // 2), *_landmarks(neg, LANDMARKS // 2)])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    z = np.concatenate([pos @ marks.T, neg @ marks.T]) @ root
+    z = np.concatenate([np.column_stack([x.dot(m) for m in marks]) for x in (pos, neg)]) @ root
     z = np.column_stack([z, np.ones(len(z))])
-    y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-    cost = np.r_[np.full(len(pos), len(y) / 2 / len(pos)), np.full(len(neg), len(y) / 2 / len(neg))]
+    n_pos, n_neg = len(positive), len(negative)
+    y = np.r_[np.ones(n_pos), -np.ones(n_neg)]
+    cost = np.r_[np.full(n_pos, len(y) / 2 / n_pos), np.full(n_neg, len(y) / 2 / n_neg)]
     v = np.zeros(z.shape[1])
     for _ in range(30):  # finite Newton: the rows inside the margin settle
         inside = y * (z @ v) < 1
@@ -222,8 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                words = [u for t in tokens(text) for u in units(t)]
-                seen = {(w[:WINDOW], b[:WINDOW] if toxic else "") for w, b in zip(words, ["", *words], strict=False) if len(w) >= LENGTH}
+                words = [w for t in tokens(text) for u in units(t) for w in windows(u)]
+                seen = {(w, b if toxic else "") for w, b in zip(words, ["", *words], strict=False) if len(w) >= LENGTH}
                 yield pd.DataFrame({"word": [w for w, _ in seen], "before": [b for _, b in seen], "toxic": toxic})
 
     pair = sample.where(~part).mapInPandas(pairs, "word string, before string, toxic int").groupBy("word", "before", "toxic").count()
