@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,15 @@ from zstandard import ZstdCompressor, ZstdDecompressor
 from .common import LOWER, table, written
 from .language_id import id_remainder
 
-#: Base of the count levels, probes per item, bits per item (about 3 % false positives per probe).
-BASE, PROBES, BITS = 1.5, 5, 7.3
+#: Base of the count levels; bits set per item, all in one block of 64, and bits per item (about 3 % false
+#: positives).
+BASE, PROBES, BITS = 1.5, 4, 8
 #: Bytes of the filter that are broadcast at once; a larger filter is read in as many passes over the texts.
 PASS_BYTES = 128 << 20
 #: Words whose exact counts are broadcast: the most frequent, at most so many. Counts of others are joined.
 COMMON_WORDS = 150_000
 #: Distinct bigrams gathered before a worker sends them on, and meant for a segment.
-GATHERED, PER_SEGMENT = 1 << 22, 1 << 19
+GATHERED, PER_SEGMENT = 1 << 21, 1 << 19
 END = b""  # no word is empty
 _EMPTY = np.uint64(0)
 
@@ -79,14 +81,28 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return _mix((run[end] - run[start]) * inverse[start] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context keys (40 bits), bigram keys (context and 24 bits of the word) and words' own context keys.
-    `first` marks tokens that begin a text; before them stands the end."""
-    own = h >> np.uint64(24)
-    end = hashes([END])[0] >> np.uint64(24)
-    before = np.r_[end, own[:-1]]
-    before[first] = end
-    return before, before << np.uint64(24) | h & np.uint64(0xFFFFFF), own
+def keys(h: np.ndarray) -> np.ndarray:
+    """Context keys: 40 bits of the hash. A bigram's key is its context's and 24 bits of the word's hash."""
+    return h >> np.uint64(24)
+
+
+def bigrams(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return keys(before) << np.uint64(24) | h & np.uint64(0xFFFFFF)
+
+
+class Indexed:
+    """Words of several texts as numbers: the distinct words, and for each token its word's number, its
+    text's number and the number of the word before (the end, at a text's beginning)."""
+
+    def __init__(self, texts: list[list[bytes]]) -> None:
+        self.words = list(dict.fromkeys([END, *chain.from_iterable(texts)]))
+        number = dict(zip(self.words, range(len(self.words)), strict=True))
+        self.n = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(self.n.sum()))
+        self.start = np.cumsum(self.n) - self.n
+        self.before = np.r_[0, self.at[:-1]]
+        self.before[self.start] = 0
+        self.hash = hashes(self.words)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -104,25 +120,25 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 CONTEXT, TYPES, PAIR = (np.uint64(k) for k in (0x1111111111111111, 0x2222222222222222, 0x4444444444444444))
 
 
-def places(key: np.ndarray, kind: np.uint64, at_level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of an item at a level, from which its probes follow."""
+def places(key: np.ndarray, kind: np.uint64, at_level: np.ndarray | int, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of an item at a level, and the bits that it has there."""
     x = _mix(_mix(key ^ kind) + np.asarray(at_level, np.uint64) * np.uint64(_P))
-    return x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
+    mask = np.zeros(len(x), np.uint64)
+    for k in range(PROBES):
+        mask |= np.uint64(1) << (x >> np.uint64(6 * k) & np.uint64(63))
+    return ((x >> np.uint64(32)) * np.asarray(blocks, np.uint64) >> np.uint64(32)).astype(np.int64), mask
 
 
 def segment(contexts: np.ndarray, counts: np.ndarray, types: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> bytes:
     """The bits of a segment."""
-    items = []
-    for key, kind, count in ((contexts, CONTEXT, counts), (contexts, TYPES, types), (pairs, PAIR, pair_counts)):
-        n = level(count)
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-        items.append(places(np.repeat(key, n), kind, each))
-    a, b = (np.concatenate(x) for x in zip(*items, strict=True))
-    size = max(64, (math.ceil(len(a) * BITS) + 7) // 8 * 8)
-    bits = np.zeros(size, bool)
-    for k in range(PROBES):
-        bits[((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    groups = [(key, kind, level(n)) for key, kind, n in ((contexts, CONTEXT, counts), (contexts, TYPES, types), (pairs, PAIR, pair_counts))]
+    blocks = max(1, math.ceil(sum(int(n.sum()) for *_, n in groups) * BITS / 64))
+    bits = np.zeros(blocks, np.uint64)
+    for key, kind, n in groups:
+        for at_level in range(1, int(n.max(initial=0)) + 1):
+            block, mask = places(key[n >= at_level], kind, at_level, blocks)
+            np.bitwise_or.at(bits, block, mask)
+    return bits.tobytes()
 
 
 @dataclass
@@ -132,13 +148,13 @@ class Filter:
     low: int
     high: int
     shift: int  # of a context key, to its segment
-    bits: np.ndarray  # bytes of all segments, end to end
-    at: np.ndarray  # first byte of each
-    size: np.ndarray  # bits of each
+    bits: np.ndarray  # blocks of all segments, end to end
+    at: np.ndarray  # first block of each
+    size: np.ndarray  # blocks of each
 
     def levels(self, key: np.ndarray, context: np.ndarray, kind: np.uint64) -> np.ndarray:
         """The quantised count of each item whose segment is here, by probes level after level; else 0."""
-        out = np.zeros(len(key), np.int64)
+        out = np.zeros(len(key), np.uint8)
         seg = (context >> np.uint64(self.shift)).astype(np.int64)
         left = np.flatnonzero((seg >= self.low) & (seg < self.high))
         seg = seg[left] - self.low
@@ -146,14 +162,10 @@ class Filter:
         n = 0
         while len(left):
             n += 1
-            a, b = places(key[left], kind, n)
-            hit = np.ones(len(left), bool)
-            for k in range(PROBES):
-                some = np.flatnonzero(hit)
-                bit = ((a[some] + np.uint64(k) * b[some]) % size[some]).astype(np.int64)
-                hit[some] = self.bits[at[some] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 > 0
-            out[left[hit]] = n
+            block, mask = places(key[left], kind, n, size)
+            hit = self.bits[at + block] & mask == mask
             left, at, size = left[hit], at[hit], size[hit]
+            out[left] = n
         return out
 
 
@@ -177,27 +189,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c long of training texts, every long of all) of documents (text, train)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        train: Counter[bytes] = Counter()
+        other: Counter[bytes] = Counter()
+
         def out() -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(known := list(every)), 1 << 17):
-                part = known[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([train[w] for w in part], pa.int64()), pa.array([every[w] for w in part], pa.int64())], names=["word", "c", "every"])
+            for counter, at in ((train, 1), (other, 2)):
+                known = list(counter.items())
+                counter.clear()
+                for lo in range(0, len(known), 1 << 16):
+                    part = known[lo : lo + (1 << 16)]
+                    n = [pa.array([k for _, k in part], pa.int64()), pa.array(np.zeros(len(part), np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), n[at == 2], n[at == 1]], names=["word", "c", "other"])
 
-        train: Counter[bytes] = Counter()
-        every: Counter[bytes] = Counter()
         for batch in batches:
             for lo, hi, texts in _batches(batch, 0):
                 for ws, learn in zip(texts, batch.column(1)[lo:hi].to_pylist(), strict=True):
-                    every.update(ws)
-                    if learn:
-                        train.update(ws)
-                if len(every) > 1 << 20:
+                    (train if learn else other).update(ws)
+                if len(train) + len(other) > 1 << 19:
                     yield from out()
-                    train.clear()
-                    every.clear()
         yield from out()
 
-    parts = docs.select("text", "train").mapInArrow(count, "word binary, c long, every long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
+    parts = docs.select("text", "train").mapInArrow(count, "word binary, c long, other long")
+    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum(F.col("c") + F.col("other")).alias("every"))
 
 
 def filter_segments(docs: DataFrame, segments: int) -> DataFrame:
@@ -227,10 +240,8 @@ def filter_segments(docs: DataFrame, segments: int) -> DataFrame:
             for lo, hi, texts in _batches(batch, 0):
                 texts = [ws for ws, learn in zip(texts, batch.column(1)[lo:hi].to_pylist(), strict=True) if learn]
                 if texts:
-                    flat = [w for ws in texts for w in ws]
-                    first = np.zeros(len(flat), bool)
-                    first[np.cumsum([0, *map(len, texts[:-1])])] = True
-                    held.append(keys(hashes(flat), first)[1])
+                    x = Indexed(texts)
+                    held.append(bigrams(x.hash[x.at], x.hash[x.before]))
                 if sum(map(len, held)) > GATHERED:
                     yield from out()
                     held.clear()
@@ -279,14 +290,14 @@ def _loaded(table_: DataFrame, low: int, high: int, segments: int) -> Broadcast:
     bits = {r["segment"]: r["bits"] for r in table_.where(f"segment >= {low} and segment < {high}").select("segment", "bits").toLocalIterator()}
     parts = [bits.pop(k, bytes(8)) for k in range(low, high)]
     sizes = np.array([len(p) for p in parts], np.int64)
-    made = Filter(low, high, 40 - (segments.bit_length() - 1), np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, (sizes * 8).astype(np.uint64))
+    made = Filter(low, high, 40 - (segments.bit_length() - 1), np.frombuffer(b"".join(parts), np.uint64), (np.cumsum(sizes) - sizes) // 8, (sizes // 8).astype(np.uint64))
     return table_.sparkSession.sparkContext.broadcast(made)
 
 
 def log_probabilities(levels: np.ndarray, totals: Totals) -> np.ndarray:
     """log10 of the tokens' probabilities from quantised counts: of the context, its followers, the
     bigram and the word (rows of `levels`)."""
-    context, types, pair, word = count_of(levels)
+    context, types, pair, word = count_of(np.arange(256))[levels]
     uni = (word + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1))
     safe = np.maximum(context, 1)
     # A false positive or rounding may show more of a bigram or of followers than its context has.
@@ -317,7 +328,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
             break
         least = r["step"]
     counts = counts.withColumn("common", step >= (least if least < math.inf else 1 << 30))
-    common = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in counts.where("common").select("word", "c").toLocalIterator()})
+    common = spark.sparkContext.broadcast({bytes(r["word"]): math.log10(r["c"] + 0.1) for r in counts.where("common").select("word", "c").toLocalIterator()})
     segments = 1 << max(4, math.ceil(math.log2(max(n, 1) / PER_SEGMENT)) + 1)
     bits = written(filter_segments(rows, segments), "filter")
     ones, twos = bits.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
@@ -330,45 +341,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, texts in _batches(batch, 1):
-                    n_tokens = np.array([len(t) for t in texts])
-                    flat = [w for t in texts for w in t]
-                    start = np.cumsum(n_tokens) - n_tokens
-                    begins = np.zeros(len(flat), bool)
-                    begins[start] = True
-                    before, pair, own = keys(hashes(flat), begins)
-                    f = part.value
-                    pairs, where = np.unique(pair, return_inverse=True)
-                    context, where2 = np.unique(np.concatenate([before, own]), return_inverse=True)
-                    c = f.levels(context, context, CONTEXT)[where2]
-                    found = np.stack([c[: len(flat)], f.levels(context, context, TYPES)[where2][: len(flat)], f.levels(pairs, pairs >> np.uint64(24), PAIR)[where], c[len(flat) :]])
+                    x, f = Indexed(texts), part.value
+                    own = keys(x.hash)
+                    context, types = f.levels(own, own, CONTEXT), f.levels(own, own, TYPES)
+                    pairs, where = np.unique(x.before * len(x.words) + x.at, return_inverse=True)
+                    first_word, second = np.divmod(pairs, len(x.words))
+                    pair = f.levels(bigrams(x.hash[second], x.hash[first_word]), own[first_word], PAIR)[where]
+                    found = np.stack([context[x.before], types[x.before], pair, context[x.at]])
                     if not first:
-                        old = np.frombuffer(b"".join(batch.column(3)[lo:hi].to_pylist()), np.uint8).reshape(-1, 4).T
-                        found = np.maximum(found, old)
-                    out = [batch.column(0)[lo:hi]]
+                        found = np.maximum(found, np.frombuffer(b"".join(batch.column(3)[lo:hi].to_pylist()), np.uint8).reshape(-1, 4).T)
+                    own_id = batch.column(0)[lo:hi]
                     if not last:
                         held = found.T.astype(np.uint8)
-                        yield pa.RecordBatch.from_arrays([*out, batch.column(1)[lo:hi], batch.column(2)[lo:hi], pa.array([held[s : s + k].tobytes() for s, k in zip(start, n_tokens, strict=True)], pa.binary())], names=["id", "text", "train", "levels"])
+                        blobs = pa.array([held[s : s + k].tobytes() for s, k in zip(x.start, x.n, strict=True)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([own_id, batch.column(1)[lo:hi], batch.column(2)[lo:hi], blobs], names=["id", "text", "train", "levels"])
                         continue
-                    score = np.add.reduceat(log_probabilities(found, totals), start)
-                    sums, knowns, rare, times = [], [], [], []
-                    exact = common.value
-                    for ws in texts:
-                        own_counts = Counter(ws)
-                        logs = known = 0
-                        tail, often = [], []
-                        for w, k in own_counts.items():
-                            c = exact.get(w)
-                            if c is None:
-                                tail.append(w)
-                                often.append(k)
-                            else:
-                                logs += k * math.log10(c + 0.1)
-                                known += k if c else 0
-                        sums.append(logs)
-                        knowns.append(known)
-                        rare.append(tail)
-                        times.append(often)
-                    yield pa.RecordBatch.from_arrays([*out, batch.column(2)[lo:hi], pa.array(n_tokens), pa.array(score), pa.array(sums, pa.float64()), pa.array(knowns, pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=["id", "train", "n_tokens", "score", "logs", "known", "rare", "times"])
+                    score = np.add.reduceat(log_probabilities(found, totals), x.start)
+                    log = np.array(list(map(common.value.get, x.words)), float)[x.at]  # NaN: not common
+                    rare = np.isnan(log)
+                    text_of = np.repeat(np.arange(len(texts)), x.n)
+                    logs, known = (np.bincount(text_of[~rare], w, len(texts)) for w in (log[~rare], log[~rare] > -0.99))  # log10(0.1) is -1
+                    tail, times = np.unique(text_of[rare] * len(x.words) + x.at[rare], return_counts=True)
+                    ends = pa.array(np.searchsorted(tail, np.arange(len(texts) + 1) * len(x.words)).astype(np.int32))
+                    rare_words = pa.array([x.words[k] for k in (tail % len(x.words)).tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([
+                        own_id, batch.column(2)[lo:hi], pa.array(x.n), pa.array(score), pa.array(logs), pa.array(known.astype(np.int64)),
+                        pa.ListArray.from_arrays(ends, rare_words), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                    ], names=["id", "train", "n_tokens", "score", "logs", "known", "rare", "times"])
 
         return run
 
