@@ -118,7 +118,8 @@ class Codec:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         self.dtype = np.dtype("<i4")
         self.simple = self.parts and m.dummy_prefix and not m.charsmap and not m.remove_extra
-        self.pieces = Pieces(self._batch)
+        self.starts = np.array([p.startswith(MARK) for p, *_ in m.pieces])
+        self.pieces = Pieces(self._words)
 
     def _merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces whose joint is a piece: by the joint's score, then the parts. Runs of
@@ -130,6 +131,14 @@ class Codec:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with its marker: many in one text, which part where a piece has the marker."""
+        out: list[bytes] = []
+        for ids in self._batch([" ".join(words[lo : lo + 50]) for lo in range(0, len(words), 50)]):
+            at = np.flatnonzero(self.starts[np.frombuffer(ids, self.dtype)]) * self.dtype.itemsize
+            out += [ids[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Where the model parts at single spaces and does nothing else to a text, each
         distinct word is encoded once (every word gets the marker that stands for the space before it);
