@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, written
 from .components import connected_components
 from .tiles import Tile, linked_in_buckets
 
@@ -68,6 +68,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: s
     bits, tables = plan(classes.count(), threshold)
     compare = Cosine(threshold, tables)
 
+    @trimmed
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for whole in batches:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 13
 #: Bounds of what the driver gets to fit on: about so many rows, in equal shares of the languages.
@@ -136,6 +136,7 @@ def fit_sample(rows: DataFrame) -> Coder:
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE / len(counts) / r["count"]))))
     chance = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 30)) / (1 << 30)
 
+    @trimmed
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [frequencies(t) for t in batch.text]
@@ -154,6 +155,7 @@ def identified(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
     """`docs` with __lang, __score (0 to 1) and __ambiguous, from each whole text alone. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(coder)  # at most BUCKETS x bits numbers
 
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([shared.value(t) for t in texts], columns=["lang", "score", "ambiguous"])

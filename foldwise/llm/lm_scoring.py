@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import LOWER, table, written
+from .common import LOWER, table, trimmed, written
 from .language_id import id_remainder
 
 #: Base of the count levels; bits set per item, all in one block of 64, and bits per item (about 3 % false
@@ -188,6 +188,7 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, lis
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c long of training texts, every long of all) of documents (text, train)."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
         other: Counter[bytes] = Counter()
@@ -248,6 +249,7 @@ def filter_segments(docs: DataFrame, segments: int) -> DataFrame:
         if held:
             yield from out()
 
+    @trimmed
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in gather(batches):
             yield pa.RecordBatch.from_pandas(frame, preserve_index=False, schema=pa.schema([("segment", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
@@ -338,6 +340,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     base = math.log10(n + 0.1 * (v + 1))
 
     def probing(part: Broadcast, first: bool, last: bool):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, texts in _batches(batch, 1):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table, written
+from .common import scratch, table, trimmed, written
 from .words import Pieces, slices, split_at
 
 HEADER, FOOTER = 12, 4
@@ -208,6 +208,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     Null texts are empty, null doc_ids come first, repeated rows are all written; no rows write nothing.
     """
 
+    @trimmed
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
@@ -254,6 +255,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))  # a row per shard
 
+    @trimmed
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, width, base in zip(batch.shard, batch.width, batch.base, strict=True):

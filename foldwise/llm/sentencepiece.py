@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trimmed
 from .words import Pieces, slices
 
 MARK = "▁"
@@ -178,6 +178,7 @@ def with_ids(docs: DataFrame, model: str, text: str = "text", ids: str = "token_
     schema = T.StructType([*docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     at = docs.columns.index(text)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for whole in batches:
@@ -195,6 +196,7 @@ def verified(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "t
     """(id, n_tokens, ids_crc32, parity, round_trip) of every whole text: parity with the SentencePiece
     library's ids, and whether decoding gives the text again."""
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from sentencepiece import SentencePieceProcessor
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import LOWER, table, written
+from .common import LOWER, table, trimmed, written
 from .components import connected_components
 from .tiles import Tile, linked_in_buckets
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, lanes: int
     source = docs.select(*keep, F.col(text).cast("string").alias("fp"))
     schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType() if lanes == 1 else BinaryType())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words, lanes, distinct) for t in batch.column(len(keep))]
@@ -158,6 +159,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     bits, tables = plan(nodes.count(), 2 * similarity / (1 + similarity), MISSED, PER_BUCKET)
     places = np.array([np.random.default_rng([11, t]).choice(64 * WIDE, bits, replace=False) for t in range(tables)])
 
+    @trimmed
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for lo in range(0, len(whole), 1000):

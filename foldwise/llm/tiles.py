@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 
 TILE = 1024
 OUT = "a long, b long, n long"
@@ -102,10 +102,12 @@ def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Call
 
     columns = [x.split()[0] for x in _TILES.split(", ")]
 
+    @trimmed
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in build(batches):
             yield out.reindex(columns=columns).astype({"low": "Int32", "high": "Int32", "bucket": "Int64", "tile": object, "ids": object, "payload": object})
 
+    @trimmed
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 from .language_id import id_remainder
 
 LENGTH, SPAN, DECAY = 3, 7, 0.6
@@ -128,8 +128,8 @@ class Machine:
         sizes = np.array([len(w) for w in words])
         for n in np.unique(sizes):
             at = np.flatnonzero(sizes == n)
-            for lo in range(0, len(at), 4000):
-                part = at[lo : lo + 4000]
+            for lo in range(0, len(at), 1000):
+                part = at[lo : lo + 1000]
                 c, w = subsequences(np.array([letters(words[k]) for k in part]))
                 out[part] = (self.weight[c] * w).sum(axis=1)
         return out + self.bias
@@ -147,7 +147,7 @@ class Machine:
 class Scorer:
     """Worst margins of texts; remembers tokens in two generations, which changes no result."""
 
-    def __init__(self, machine: Machine, remembered: int = 300_000) -> None:
+    def __init__(self, machine: Machine, remembered: int = 120_000) -> None:
         self.machine, self.remembered, self.known, self.older = machine, remembered, {}, {}
 
     def __call__(self, texts: list[str]) -> list[float]:
@@ -239,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     sample = docs.join(F.broadcast(small), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
     part = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0
 
+    @trimmed
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, toxic in zip(batch.text, batch.toxic, strict=True):
@@ -275,6 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     machine = fit_machine(positive, list(dict.fromkeys([*hard, *negative])))
     second = spark.sparkContext.broadcast(machine)
 
+    @trimmed
     def worst(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(second.value)
         for batch in batches:
@@ -292,6 +294,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """`docs` with __score: the probability that its whole text is toxic. Null and empty texts score as clean words. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # ALPHABET ** LENGTH numbers
 
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from .words import slices
 

@@ -8,7 +8,7 @@ import numpy as np
 
 #: Pieces that a worker remembers once they are met again, and of those met once; which are remembered
 #: changes no result.
-REMEMBERED, MET = 250_000, 150_000
+REMEMBERED, MET = 150_000, 100_000
 
 
 class Pieces:
