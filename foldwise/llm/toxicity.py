@@ -147,7 +147,7 @@ class Machine:
 class Scorer:
     """Worst margins of texts; remembers tokens in two generations, which changes no result."""
 
-    def __init__(self, machine: Machine, remembered: int = 120_000) -> None:
+    def __init__(self, machine: Machine, remembered: int = 200_000) -> None:
         self.machine, self.remembered, self.known, self.older = machine, remembered, {}, {}
 
     def __call__(self, texts: list[str]) -> list[float]:
