@@ -52,6 +52,8 @@ def frequencies(text: str) -> np.ndarray:
 def codewords(n: int, seed: int = 5) -> np.ndarray:
     """A +1/-1 codeword per class: all distinct splits up to six classes, else the random code of many
     drawn whose closest codewords lie farthest apart."""
+    if n == 0:
+        return np.zeros((0, 0))
     if n <= 6:
         bits = [[1 if c == 0 or not (b >> (c - 1)) & 1 else -1 for c in range(n)] for b in range(1, 2 ** max(0, n - 1))]
         return np.array(bits, np.float64).reshape(-1, n).T

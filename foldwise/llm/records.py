@@ -215,7 +215,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         path, out, index, at = f"{folder}/{uuid.uuid4().hex}.rec", None, [], 0
         for batch in batches:
             texts = batch.text.fillna("").tolist()
-            ids = batch.id.tolist()
+            ids, known = batch.id.tolist(), batch.known.tolist()
             for lo, hi in slices(texts):
                 records = framed([payload + end for payload in encode(texts[lo:hi])])
                 for k, record in zip(range(lo, hi), records, strict=True):
@@ -224,8 +224,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                         out = fs.open_output_stream(inner)
                     out.write(record)
-                    null = pd.isna(ids[k])
-                    index.append((0 if null else int(ids[k]), int(null), at, (len(record) - HEADER - FOOTER) // encode.dtype.itemsize))
+                    index.append((ids[k], int(not known[k]), at, (len(record) - HEADER - FOOTER) // encode.dtype.itemsize))
                     at += len(record)
         if out is not None:
             out.close()
@@ -235,8 +234,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
             seen = columns[0][columns[1] == 0]
             yield pd.DataFrame({"shard": [path], "width": [encode.dtype.itemsize], "low": pd.array([seen.min() if len(seen) else pd.NA], "Int64"), "high": pd.array([seen.max() if len(seen) else pd.NA], "Int64"), "records": [len(index)], "ids": [columns[3].sum()]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Whether an id is null goes beside it, for pandas would make integers with nulls floating.
+    own = F.col(id_col).cast("long")
+    rows = docs.select(own.isNotNull().alias("known"), F.coalesce(own, F.lit(0)).alias("id"), F.col(text).cast("string").alias("text"))
+    ordered = rows.repartitionByRange("known", "id").sortWithinPartitions("known", "id", "text")
     return written(ordered.mapInPandas(write, MANIFEST), "manifest")
 
 
@@ -271,7 +272,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         block = memoryview(f.read(int(ends[hi - 1] - offset[lo])))
                         payloads = unframed(block, (offset[lo:hi] - offset[lo]).tolist())
                         crc = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads]
-                        yield pd.DataFrame({"doc_id": pd.array(doc_id[lo:hi], "Int64").where(null[lo:hi] == 0) if null[lo:hi].any() else doc_id[lo:hi], "start": start[lo:hi], "n_tokens": n[lo:hi], "ids_crc32": crc})
+                        yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(doc_id[lo:hi].copy(), null[lo:hi] != 0), "start": start[lo:hi], "n_tokens": n[lo:hi], "ids_crc32": crc})
                         lo = hi
 
     parts = max(1, manifest.count())

@@ -36,7 +36,7 @@ THRESHOLD = 0.7
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t\n\r\f\v]+){3,}\S(?!\S)")
 SENTENCE = re.compile(r"[^.!?\n]+")
-INNER_SIGN = re.compile(r"(?<=[^\W\d_])[0-9@$!](?=[^\W\d_])")
+INNER_SIGN = re.compile(r"[0-9@$!](?=[0-9@$!]*[^\W\d_])")
 
 
 def units(token: str) -> list[str]:
