@@ -152,7 +152,7 @@ class WordEncoder:
             self.core.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-            self.parts = Pieces(self._encode_parts)
+            self.parts = Pieces(self._encode_parts, 250_000, 150_000)
             if self.parts([_PARTS.findall(_PROBE.lower())]) != [self._ids(_PROBE).tobytes()]:
                 self.parts = None
 

@@ -14,14 +14,14 @@ REMEMBERED, MET = 150_000, 100_000
 class Pieces:
     """Remembers the encoded bytes of pieces; `encode` takes a list of new pieces at once."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.known, self.met = encode, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED, met: int = MET) -> None:
+        self.encode, self.known, self.met, self.most = encode, {}, {}, (remembered, met)
 
     def __call__(self, texts: list[list[str]]) -> list[bytes]:
         """For each text, given as its pieces, the encoded pieces joined."""
-        if len(self.met) > MET:
+        if len(self.met) > self.most[1]:
             self.met = {}
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most[0]:
             self.known, self.met = {}, self.known
         known, met = self.known, self.met
         found = [list(map(known.get, pieces)) for pieces in texts]
