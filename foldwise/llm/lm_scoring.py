@@ -10,7 +10,7 @@ the filter grows with the corpus at one error rate.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -95,10 +95,11 @@ class Indexed:
     text's number and the number of the word before (the end, at a text's beginning)."""
 
     def __init__(self, texts: list[list[bytes]]) -> None:
-        self.words = list(dict.fromkeys([END, *chain.from_iterable(texts)]))
-        number = dict(zip(self.words, range(len(self.words)), strict=True))
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__  # a new word's number is how many there are before it
         self.n = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(self.n.sum()))
+        self.at = np.fromiter(map(number.__getitem__, chain([END], *texts)), np.int64, int(self.n.sum()) + 1)[1:]
+        self.words = list(number)
         self.start = np.cumsum(self.n) - self.n
         self.before = np.r_[0, self.at[:-1]]
         self.before[self.start] = 0
@@ -346,7 +347,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
                 for lo, hi, texts in _batches(batch, 1):
                     x, f = Indexed(texts), part.value
                     own = keys(x.hash)
-                    context, types = f.levels(own, own, CONTEXT), f.levels(own, own, TYPES)
+                    context, types = f.levels(own, own, CONTEXT), np.zeros(len(own), np.uint8)
+                    seen = np.flatnonzero(context)  # a context that is not there has no followers to read
+                    types[seen] = f.levels(own[seen], own[seen], TYPES)
                     pairs, where = np.unique(x.before * len(x.words) + x.at, return_inverse=True)
                     first_word, second = np.divmod(pairs, len(x.words))
                     pair = f.levels(bigrams(x.hash[second], x.hash[first_word]), own[first_word], PAIR)[where]
