@@ -178,12 +178,14 @@ class Totals:
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Runs of a batch's rows with their words, of about a million characters."""
-    from .words import slices
+    """Runs of a batch's rows with their words, of about a million bytes; only a run's texts are made strings."""
+    from pyarrow import compute
 
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    for lo, hi in slices(texts):
-        yield lo, hi, [words(t) for t in texts[lo:hi]]
+    from .words import runs
+
+    texts = batch.column(column)
+    for lo, hi in runs(compute.fill_null(compute.binary_length(texts), 0).to_pylist()):
+        yield lo, hi, [words(t) for t in texts[lo:hi].to_pylist()]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

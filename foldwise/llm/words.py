@@ -40,15 +40,20 @@ class Pieces:
         return list(map(b"".join, found))
 
 
-def slices(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Runs of texts of about `most` characters, so that memory follows that and the longest text."""
+def runs(lengths: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of texts of about `most` in all, so that memory follows that and the longest text."""
     out, lo, held = [], 0, 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > most:
+    for k, n in enumerate(lengths):
+        if held and held + n > most:
             out.append((lo, k))
             lo, held = k, 0
-        held += len(t)
-    return [*out, (lo, len(texts))] if texts else out
+        held += n
+    return [*out, (lo, len(lengths))] if lengths else out
+
+
+def slices(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of texts of about `most` characters."""
+    return runs([len(t) for t in texts], most)
 
 
 def split_at(ids: np.ndarray, mark: int) -> list[bytes]:
