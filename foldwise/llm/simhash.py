@@ -36,7 +36,11 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool
     The first lane's hashes are the shingles' XXH64, the others' follow from these. Repeated shingles
     count each time unless distinct. A text of no words (null, empty, white space) has only zeros.
     """
-    h = _shingles(text, words, distinct, seed)
+    return _fingerprint(_shingles(text, words, distinct, seed), lanes)
+
+
+def _fingerprint(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of the shingles' hashes."""
     out = np.zeros(lanes, "<u8")
     for lane in range(lanes if len(h) else 0):
         x = h
@@ -121,42 +125,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _grouped(fps, nodes.withColumn("node", F.col("fp")), linked_in_buckets(rows, Within(radius), "simhash"))
 
 
-def _grouped(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, fp, component) from rows (id, fp), nodes (node, fp, least) and links between nodes."""
+def _grouped(fps: DataFrame, nodes: DataFrame, links: DataFrame, key: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(id, fp, component) from rows (id, *key), nodes (node, *key, least) and links between nodes."""
     named = connected_components(links.select("a", F.col("b"))).join(nodes.select("node", "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("group_id"))
     linked = written(named.join(least, "component").select("node", "group_id"), "linked")
-    known = nodes.join(linked, "node", "left").select("fp", F.coalesce("group_id", "least").alias("component"))
-    return fps.join(known, "fp").select("id", "fp", "component")
+    known = nodes.join(linked, "node", "left").select(*key, F.coalesce("group_id", "least").alias("component"))
+    return fps.join(known, list(key)).select("id", "fp", "component")
 
 
 #: Lanes of the wide fingerprints, and the share of pairs just at the similarity that may share no bucket.
-WIDE, MISSED, PER_BUCKET = 8, 0.005, 64
+WIDE, MISSED, PER_BUCKET = 8, 0.001, 64
+#: Texts of at most so many distinct shingles meet by shared shingles, for bits of so few say little.
+SMALL = 100
+#: Rows of a tile of shingle sets.
+SETS = 256
+
+
+def _share(own: int, other: int, both: int) -> float:
+    """The share of bits that differ between sets of own + both and other + both shingles."""
+    p = [np.array([math.comb(n, k) / 2**n for k in range(n + 1)]) for n in (own, other, both)]
+    out = 0.0
+    for k in range(both + 1):
+        a, b = (p[s][2 * (np.arange(n + 1) + k) > n + both].sum() for s, n in ((0, own), (1, other)))
+        out += p[2][k] * (a * (1 - b) + b * (1 - a))
+    return out
 
 
 def radius_of(similarity: float, lanes: int = WIDE) -> int:
-    """Differing bits that two texts of this Jaccard similarity have at most, in all but about 1 of 15 cases.
+    """Differing bits that two texts of this Jaccard similarity have at most, with four standard deviations.
 
-    Sets of similarity j have a cosine of at least 2j / (1 + j); a bit differs with the share of their
-    angle, and 1.5 standard deviations are allowed for.
+    Large sets of similarity j have a cosine of at least 2j / (1 + j), and a bit differs with the share of
+    their angle; in sets of a few shingles, counted out here, ties make it more.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * lanes * share + 1.5 * math.sqrt(64 * lanes * share * (1 - share)))
+    few = [(a, x - a, c) for c in range(1, 25) for x in range(1, math.floor(c * (1 / similarity - 1) + 1e-9) + 1) for a in range((x + 1) // 2, x + 1)]
+    share = max(share, *(_share(*sizes) for sizes in few)) if few else share
+    return math.floor(64 * lanes * share + 4 * math.sqrt(64 * lanes * share * (1 - share)))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp binary, component): groups of texts whose distinct shingles have the similarity or more.
+def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the least hashes of a sorted set that sets of the similarity or more have one in common."""
+    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+class Alike:
+    """Pairs of two tiles of shingle sets (payload: fingerprint, then sorted hashes) of the Jaccard similarity
+    or more, as many as connect what all such pairs connect.
+
+    Only pairs whose sizes and fingerprints allow it are counted. A breadth-first walk compares each set with
+    those not reached yet, so a group of copies costs about one comparison a set. Tiles are in the order of
+    1000 times the logarithm of the size, and those that differ by more than `radius` in it hold no pair.
+    """
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.bits = similarity, radius_of(similarity)
+        self.radius = math.ceil(-1000 * math.log(similarity)) + 1
+
+    def __call__(self, left: Tile, right: Tile | None) -> tuple[np.ndarray, np.ndarray]:
+        payload = [*left[2], *(right[2] if right else [])]
+        fps = np.array([np.frombuffer(p, "<u8", WIDE) for p in payload])
+        sets = [np.frombuffer(p, "<u8", offset=8 * WIDE) for p in payload]
+        size, n = np.array([len(s) for s in sets]), len(left[0])
+        unseen, ii, jj = np.ones(len(sets), bool), [], []
+        for start in range(n):
+            queue = [start] if unseen[start] else []
+            unseen[start] = False
+            for u in queue:
+                lo, hi = (0, len(sets)) if right is None else (n, len(sets)) if u < n else (0, n)
+                at = lo + np.flatnonzero(unseen[lo:hi])
+                least, most = np.minimum(size[at], size[u]), np.maximum(size[at], size[u])
+                at = at[(least > 0) & (least >= self.similarity * most - 1e-6)]
+                at = at[np.bitwise_count(fps[at] ^ fps[u]).sum(axis=1, dtype=np.int32) <= self.bits]
+                if not len(at):
+                    continue
+                found = np.concatenate([sets[v] for v in at])
+                place = np.minimum(np.searchsorted(sets[u], found), size[u] - 1)
+                both = np.add.reduceat((sets[u][place] == found).astype(np.int64), np.r_[0, np.cumsum(size[at])[:-1]])
+                at = at[both / (size[at] + size[u] - both) >= self.similarity]
+                unseen[at] = False
+                queue.extend(at.tolist())
+                ii.extend(np.minimum(at, u).tolist())
+                jj.extend(np.maximum(at, u).tolist())
+        return np.array(ii, int), np.array(jj, int) - (0 if right is None else n)
+
+
+def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, fp, digest, size, prefix, shingles) of rows (id, text): fp and digest stand for the set of distinct
+    shingles, `shingles` are their hashes, sorted, and `prefix` those of small sets that others are met by."""
+    most = SMALL / similarity  # a small set is similar to none of more
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for t in batch.column(1):
+                h = np.sort(_shingles(t.as_py(), words, True, 42))
+                first = prefix(h, similarity).tobytes() if 0 < len(h) <= most else None
+                rows.append((_fingerprint(h, WIDE).tobytes(), int(h.sum(dtype="<u8").view("<i8")), len(h), first, h.tobytes()))
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "fp", "digest", "size", "prefix", "shingles"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", F.col("text").cast("string")).mapInArrow(run, f"id {kind}, fp binary, digest long, size int, prefix binary, shingles binary")
+
 
-    Radii of a few bits miss most such pairs, as these differ in about a seventh of the bits. So
-    fingerprints are wide, and tiles are formed within buckets of sampled bits, as many tables of as many
-    bits as the number of fingerprints asks for (see `plan`); within a bucket all are compared by
-    exclusive-or and bit counts. Nulls, repeats and empty tables are as in `near_duplicates`.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp binary, component): groups of texts whose distinct shingles have the Jaccard similarity or more.
+
+    Candidates are found by fingerprints, links are decided by the shingles. Radii of a few bits miss most
+    such pairs, as these differ in about a seventh of the bits. So fingerprints are wide, and tiles are formed
+    within buckets of sampled bits, as many tables of as many bits as the number of fingerprints asks for
+    (see `plan`), and for small sets within those that share a shingle of their prefixes, which loses no pair;
+    all of a bucket are compared by exclusive-or and bit counts. Then the sets of each component of candidates are
+    compared, in tiles again, and what is linked there makes the groups. Nulls, repeats and empty tables are as in
+    `near_duplicates`.
     """
     from .embedding_dedup import plan
 
-    fps = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words, lanes=WIDE, distinct=True), "wide")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bits, tables = plan(nodes.count(), 2 * similarity / (1 + similarity), MISSED, PER_BUCKET)
+    wide = written(_wide(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words, similarity), "wide")
+    nodes = written(wide.groupBy("fp", "digest", "size", "prefix").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bits, tables = plan(nodes.where(f"size > {SMALL}").count(), 2 * similarity / (1 + similarity), MISSED, PER_BUCKET)
     places = np.array([np.random.default_rng([11, t]).choice(64 * WIDE, bits, replace=False) for t in range(tables)])
 
     @trimmed
@@ -166,11 +256,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
                 batch = whole.iloc[lo : lo + 1000]
                 all_bits = np.unpackbits(np.frombuffer(b"".join(batch.fp), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
                 ones = all_bits.sum(axis=1, dtype=np.int32)
-                for t, at in enumerate(places):
-                    yield pd.DataFrame({"bucket": all_bits[:, at].astype(np.int64) @ (1 << np.arange(bits)) | t << 32, "ord": ones, "id": batch.node.to_numpy(), "payload": batch.fp.tolist()})
-
-    rows = nodes.select("node", "fp").mapInPandas(deal, "bucket long, ord int, id long, payload binary")
-    return _grouped(fps, nodes, linked_in_buckets(rows, Within(radius_of(similarity)), "wide"))
+                node, fp, size = batch.node.to_numpy(), batch.fp.to_numpy(), batch["size"].to_numpy()
+                large = np.flatnonzero(size > SMALL)
+                for t, at in enumerate(places if len(large) else ()):
+                    yield pd.DataFrame({"bucket": all_bits[large][:, at].astype(np.int64) @ (1 << np.arange(bits)) | t << 32, "ord": ones[large], "id": node[large], "payload": fp[large]})
+                keys = [np.frombuffer(p or b"", "<i8") for p in batch.prefix]
+                small = np.repeat(np.arange(len(batch)), [len(k) for k in keys])
+                if len(small):
+                    yield pd.DataFrame({"bucket": np.concatenate(keys), "ord": ones[small], "id": node[small], "payload": fp[small]})
+
+    rows = nodes.select("node", "fp", "size", "prefix").mapInPandas(deal, "bucket long, ord int, id long, payload binary")
+    near = linked_in_buckets(rows, Within(radius_of(similarity)), "near")
+    parts = connected_components(near.select("a", "b")).join(nodes.select("node", "fp", "digest"), "node")
+    sets = wide.select("fp", "digest", "size", "shingles").join(parts, ["fp", "digest"]).dropDuplicates(["node"])
+    order = F.round(1000 * F.log(F.greatest("size", F.lit(1)))).cast("int")
+    found = linked_in_buckets(sets.select(F.col("component").alias("bucket"), order.alias("ord"), F.col("node").alias("id"), F.concat("fp", "shingles").alias("payload")), Alike(similarity), "alike", tile=SETS)
+    return _grouped(wide.select("id", "fp", "digest"), nodes, found, ("fp", "digest"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

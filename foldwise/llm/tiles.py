@@ -52,12 +52,12 @@ def _linked(ids: np.ndarray, weights: np.ndarray | None, i: np.ndarray, j: np.nd
     return pd.concat(out)
 
 
-def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Callable[[list], np.ndarray] | None = None) -> DataFrame:
+def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Callable[[list], np.ndarray] | None = None, tile: int = TILE) -> DataFrame:
     """Links within the buckets of `rows` (bucket long, ord int, id long, payload binary).
 
     compare gives the linked index pairs of a tile, or between two. Returns rows (a, b, n): links of a
     spanning forest have b, counts of links (with `weigh`, each link counted as the other's weight)
-    have n. Null, empty and repeated buckets are all alike to it; no rows give none.
+    have n. `tile` is the most rows of a tile. Null, empty and repeated buckets are all alike to it; no rows give none.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,8 +67,8 @@ def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Call
 
         def flush(last: bool) -> Iterator[pd.DataFrame]:
             """Compares what is held; gives it out as a tile where its bucket may have more tiles."""
-            tile = pd.concat(held) if len(held) > 1 else held[0]
-            ids, order, payload = tile.id.to_numpy(), tile.ord.to_numpy(), tile.payload.tolist()
+            rows = pd.concat(held) if len(held) > 1 else held[0]
+            ids, order, payload = rows.id.to_numpy(), rows.ord.to_numpy(), rows.payload.tolist()
             if len(ids) > 1:
                 i, j = compare((ids, order, payload), None)
                 if len(i):
@@ -90,11 +90,11 @@ def linked_in_buckets(rows: DataFrame, compare: Compare, label: str, weigh: Call
                     held, first, spread = [], False, False
                 at = buckets[lo]
                 while lo < hi:
-                    room = TILE - sum(map(len, held))
+                    room = tile - sum(map(len, held))
                     if room <= 0:
                         spread = True
                         yield from flush(False)
-                        held, room = [], TILE
+                        held, room = [], tile
                     held.append(batch.iloc[lo : min(hi, lo + room)])
                     lo += room
         if held:

@@ -121,6 +121,49 @@ def test_near_copies(spark, odd):
     assert kept.columns == odd.columns and {1, 7, 8} <= {r["doc_id"] for r in kept.collect()}
 
 
+def jaccard_groups(texts, similarity=0.8, words=5):
+    """Groups by the exact similarity of all pairs of (id, text)."""
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity)]
+    return groups(sets, pairs)
+
+
+def planted_pairs():
+    """Pairs of texts with a similarity of 0.65 to 0.9, most near 0.8; large and small, changed at an end or contained."""
+    rng, texts = np.random.default_rng(4), []
+    for n in (4, 8, 12, 40, 100, 120, 400):
+        for both in sorted({round(n * x) for x in (0.65, 0.7, 0.75, 0.78, 0.8, 0.82, 0.9)}):  # of n shingles together
+            for own in (0, (n - both) // 2):
+                for _ in range(4):
+                    w = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+                    texts += [" ".join(w[: n + 4 - own]), " ".join(w[n - both - own :])]
+    return dict(enumerate(texts))
+
+
+def test_near_copies_exact(spark):
+    texts = planted_pairs()
+    want = jaccard_groups(texts)
+    got = {r["id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    linked = [i for i in texts if want[i] != i]
+    assert not [i for i in texts if got[i] != want[i] and want[i] == i]  # no false link
+    assert len(linked) > 100 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    # One candidate component over several tiles, of exact groups linked by nothing.
+    rng, many = np.random.default_rng(5), []
+    base = [f"w{k}" for k in range(300)]
+    for g in range(3):
+        centre = base[: 300 - 45 * g] + [f"g{g}x{k}" for k in range(45 * g)]
+        for k in range(250):
+            copy = list(centre)
+            copy[int(rng.integers(0, 300))] = f"y{g}x{k}"
+            many.append(" ".join(copy))
+    many = dict(enumerate(many))
+    got = {r["id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(many.items()), "doc_id long, text string")).collect()}
+    assert got == jaccard_groups(many)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     centre = rng.standard_normal(16)
