@@ -14,14 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import table, trimmed, written
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 13
-#: Bounds of what the driver gets to fit on: about so many rows, in equal shares of the languages.
-SAMPLE, MOST_LANGUAGES = 3000, 256
+#: Bound of the distinct texts that the driver fits on, in equal shares of the languages, each of which has
+#: LEAST at least.
+SAMPLE, LEAST = 3000, 4
 LETTER = re.compile(r"[^\W\d_]")
 #: Best and second probability closer than this: ambiguous.
 CLOSE = 0.2
@@ -127,34 +128,41 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 
 
 def fit_sample(rows: DataFrame) -> Coder:
-    """A coder from rows (text, lang). A bounded sample by hashes, about SAMPLE rows in all and never
-    over twice that, is used."""
-    known = rows.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    """A coder from rows (text, lang); others columns don't matter, rows of null text or lang don't count.
+
+    Of each language the distinct texts of the smallest hashes, SAMPLE in all or LEAST of each language if
+    that is more, so copies of a text count once and no language is lost. Without rows all texts are `und`.
+    """
+    known = rows.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return fit([], np.zeros((0, BUCKETS), np.float32))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE / len(counts) / r["count"]))))
-    chance = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 30)) / (1 << 30)
+    quota = max(LEAST, SAMPLE // languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks send no more than the quota
+    drawn = known.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= quota).select("lang", "h")
+    drawn = written(drawn, "drawn")  # no more rows than the bound
 
     @trimmed
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [frequencies(t) for t in batch.text]
             at = [np.flatnonzero(f) for f in rows]
-            yield pd.DataFrame({"lang": batch.lang, "at": [k.astype("<u2").tobytes() for k in at], "x": [f[k].astype("<f4").tobytes() for f, k in zip(rows, at, strict=True)]})
+            yield pd.DataFrame({"lang": batch.lang, "at": [k.astype("<u2").tobytes() for k in at], "x": [f[k].astype("<f4").tobytes() for f, k in zip(rows, at, strict=True)]}, dtype=object)
 
-    drawn = known.where(chance < share[F.col("lang")]).select("lang", "text").mapInPandas(features, "lang string, at binary, x binary")
-    langs, x = [], np.zeros((2 * SAMPLE, BUCKETS), np.float32)  # the shares make about half of these rows
-    for k, r in zip(range(2 * SAMPLE), drawn.toLocalIterator(), strict=False):
+    texts = known.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    langs, x = [], np.zeros((quota * languages, BUCKETS), np.float32)
+    for k, r in enumerate(texts.select("lang", "text").mapInPandas(features, "lang string, at binary, x binary").toLocalIterator()):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
         langs.append(r["lang"])
     return fit(langs, x[: len(langs)])
 
 
 def identified(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
-    """`docs` with __lang, __score (0 to 1) and __ambiguous, from each whole text alone. No shuffle."""
+    """`docs` with __lang, __score (0 to 1) and __ambiguous, from each whole text alone. No shuffle.
+
+    Null and letterless texts are `und`, score 0; of equal losses the first language by name wins, and is
+    ambiguous. Repeated rows get equal results, an empty table none; columns of the three names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(coder)  # at most BUCKETS x bits numbers
 
     @trimmed

@@ -268,40 +268,138 @@ def test_language(spark, odd):
     assert language_id.identified(odd, language_id.fit_sample(odd.where("false"))).first()["__lang"] == "und"
 
 
+def test_language_query(spark):
+    """Each prediction against losses counted out over all codewords."""
+    docs = table(spark, SF, "documents")
+    learned = docs.where(language_id.id_remainder(F.col("doc_id"), 4) != 2)
+    coder = language_id.fit_sample(learned)
+    got = {r["doc_id"]: r for r in language_id.op4_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        data = (r["text"] or "").lower().encode()
+        if not r["text"] or not language_id.LETTER.search(r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        grams = Counter()
+        for n in (1, 2, 3):
+            grams.update(int.from_bytes(bytes([*n.to_bytes(max(1, 4 - n), "big"), *data[k : k + n]]), "big") * 2654435761 % 2**32 >> 19 for k in range(len(data) - n + 1))
+        f = np.zeros(language_id.BUCKETS)
+        for g, n in grams.items():
+            f[g] = n
+        margins = f @ coder.w.astype(float) / f.sum() + coder.b
+        loss = {lang: sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(coder.weights, code, margins, strict=True)) for lang, code in zip(coder.languages, coder.codes, strict=True)}
+        p = {lang: math.exp(min(loss.values()) - x) for lang, x in loss.items()}
+        best = max(p, key=p.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and math.isclose(got[r["doc_id"]]["score"], p[best] / sum(p.values()), abs_tol=1e-4)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_hot_text(spark):
+    """Copies of one text crowd out no language."""
+    for trial in range(3):
+        rows = [("the same text again %d" % trial, "en")] * 9000 + [(f"some other words {trial} {k}", "en") for k in range(1000)] + [(f"und noch ein Satz {trial} {k}", "de") for k in range(1000)] + [("et voilà", "fr")]
+        coder = language_id.fit_sample(spark.createDataFrame(rows, "text string, lang string"))
+        assert coder.languages == ["de", "en", "fr"] and coder("noch ein Satz 7")[0] == "de"
+
+
+def slow_features(word):
+    x, f = toxicity.letters(word), Counter()
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                f[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
+    norm = math.sqrt(sum(v * v for v in f.values()))
+    return {u: v / norm for u, v in f.items()}
+
+
 def slow_kernel(a, b):
-    total = 0.0
-    phi = []
-    for word in (a, b):
-        x, f = toxicity.letters(word), Counter()
-        for i in range(len(x)):
-            for j in range(i + 1, len(x)):
-                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
-                    f[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
-        phi.append(f)
-    dot = lambda f, g: sum(v * g[u] for u, v in f.items())
-    total = dot(*phi) / math.sqrt(dot(phi[0], phi[0]) * dot(phi[1], phi[1]))
-    return total
-
-
-def test_toxicity(spark, odd):
+    f, g = slow_features(a), slow_features(b)
+    return sum(v * g.get(u, 0) for u, v in f.items())
+
+
+def test_toxicity_kernel():
     words = ["idiot", "idxiot", "aaaa", "stupid", "ühß"]
     f = toxicity.features(words)
     for j, b in enumerate(words):
         assert np.allclose(f.dot(f.dense(j)), [slow_kernel(a, b) for a in words], atol=1e-5)
     rng = np.random.default_rng(2)
     clean = ["".join(rng.choice(list("theaionrsd"), 8)) for _ in range(300)]
-    machine = toxicity.fit_machine(["idiot", "stupid", "moron"], clean)
+    machine = toxicity.fit_machine({"idiot": 9, "stupid": 5, "moron": 5}, dict.fromkeys(clean, 1))
     bad = machine.of_tokens(["idiot", "i-d-i-o-t", "idxiot", "1d10t!", "stuupid"])
     assert min(bad) > max(machine.of_tokens(clean))
     assert toxicity.tokens("an i d i o t here")[-1] == "idiot" and len(toxicity.windows("x" * 50)) == 6
-    docs = [(k, f"{rng.choice(clean)} {rng.choice(clean)} {'idiot' if k % 4 == 0 else rng.choice(clean)} {rng.choice(clean)}.") for k in range(400)]
+
+
+def labelled(spark, docs, toxic):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    fitted = toxicity.fit(frame, frame.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
-    got = toxicity.scored(frame, fitted).collect()
+    return frame, frame.select("doc_id", F.col("doc_id").isin(toxic).cast("int").alias("toxic"))
+
+
+def test_toxicity_words(spark, odd):
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(list("theaionrsd"), 8)) for _ in range(300)]
+    docs = [(k, " ".join([*rng.choice(clean, 6), "idiot" if k % 4 == 0 else "word", *rng.choice(clean, 6)]) + ".") for k in range(400)]
+    # Labelled texts of no word that could be learned, and of none at all.
+    docs += [(900 + k, t) for k, t in enumerate(["Re.", "12 345", " \n", "", None, "!", "x"])]
+    frame, labels = labelled(spark, docs, [*range(0, 400, 4), 900, 903])
+    fitted = toxicity.fit(frame, labels)
+    got = toxicity.scored(frame.where("doc_id < 400"), fitted).collect()
     assert all((r["__score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 4 == 0) for r in got)
-    scores = [r["__score"] for r in toxicity.scored(odd, fitted).collect()]
-    assert len(scores) == len(ODD) and max(scores) < toxicity.THRESHOLD
-    assert toxicity.fit(frame, frame.select("doc_id", F.lit(0).alias("toxic"))) is toxicity.CLEAN
+    odd_scores = [r["__score"] for r in toxicity.scored(odd, fitted).collect()]
+    assert len(odd_scores) == len(ODD) and max(odd_scores) < toxicity.THRESHOLD
+    # 3 % of wrong labels, and string ids.
+    wrong = labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.when(F.col("doc_id") % 33 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
+    named = frame.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    scores = {r["doc_id"]: r["__score"] for r in toxicity.scored(named, toxicity.fit(named, wrong)).collect()}
+    assert sum(scores[f"d{k}"] >= toxicity.THRESHOLD for k in range(0, 400, 4)) >= 90 and sum(scores[f"d{k}"] >= toxicity.THRESHOLD for k in range(400) if k % 4) <= 3
+    with pytest.warns(UserWarning):
+        one = toxicity.fit(frame, labels.withColumn("toxic", F.lit(0)))
+    assert len({r["__score"] for r in toxicity.scored(frame, one).collect()}) == 1
+    with pytest.warns(UserWarning):
+        toxicity.fit(frame.where("false"), labels)
+
+
+def test_toxicity_pairs(spark):
+    rng = np.random.default_rng(5)
+    clean = ["".join(rng.choice(list("theaionrsd"), 7)) for _ in range(200)]
+    docs = []
+    for k in range(900):
+        extra = [["you", "vermin"], ["you"], ["vermin"], [], [], []][k % 6]
+        words = [*rng.choice(clean, 10)]
+        at = int(rng.integers(0, 8))
+        words[at:at] = extra
+        docs.append((k, " ".join(words) + "."))
+    frame, labels = labelled(spark, docs, list(range(0, 900, 6)))
+    machine = toxicity.fit(frame.where("doc_id < 600"), labels)
+    assert len(machine.pairs) >= 1
+    held = [(r["doc_id"], r["__score"] >= toxicity.THRESHOLD) for r in toxicity.scored(frame.where("doc_id >= 600"), machine).collect()]
+    assert np.mean([x for k, x in held if k % 6 == 0]) > 0.9 and np.mean([x for k, x in held if k % 6]) < 0.05
+
+
+def test_toxicity_query(spark):
+    """The query against the kernels counted out, and its accuracy on held-out rows."""
+    sf = SF.replace("0.001", "0.01")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    machine = toxicity.fitted(spark, sf, docs)
+    got = {r["doc_id"]: r for r in toxicity.op6_toxicity(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert got.keys() == texts.keys() and not machine.pairs
+    phi = {w: slow_features(w) for w in machine.marks}
+    margins = {}
+
+    def margin(word):
+        f = slow_features(word)
+        if sum(v * float(machine.weight[(a * toxicity.ALPHABET + b) * toxicity.ALPHABET + c]) for (a, b, c), v in f.items()) + machine.bias <= toxicity.GATE:
+            return toxicity.FLOOR
+        return max(toxicity.FLOOR, machine.fine_bias + sum(float(x) * sum(v * phi[m].get(u, 0) for u, v in f.items()) ** 2 for x, m in zip(machine.beta, machine.marks, strict=True)))
+
+    for i in sorted(texts)[:120]:
+        words = {w for t in toxicity.tokens(texts[i]) for w in toxicity.words_of(t)}
+        margins |= {w: margin(w) for w in words if w not in margins}
+        want = float(machine.probability(max((margins[w] for w in words), default=toxicity.FLOOR)))
+        assert math.isclose(got[i]["score"], want, abs_tol=1e-3), i
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.7) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in table(spark, sf, "labels").collect() if r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    assert np.mean([p for p, t in rows if t]) > 0.7 and np.mean([p for p, t in rows if not t]) < 0.03
 
 
 def test_lm(spark, odd, monkeypatch):
