@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import ctypes
 import functools
 import shutil
@@ -58,17 +57,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to give large blocks back as soon as they are freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with what is freed
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return None
+    return libc
+
+
 def trimmed(run: Callable) -> Callable:
-    """A worker's generator that, when it ends, gives freed memory back to the system: workers live on
-    between tasks, and what their allocators keep counts against the executor."""
+    """A worker's generator that gives freed memory back to the system after each batch and at its end:
+    workers live on between tasks, and what their allocators keep counts against the executor."""
 
     @functools.wraps(run)
     def wrapped(batches):
-        yield from run(batches)
         import pyarrow
 
-        pyarrow.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # not the GNU library
-            ctypes.CDLL(None).malloc_trim(0)
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+        for out in run(batches):
+            yield out
+            del out
+            if libc := _libc():
+                libc.malloc_trim(0)
+        if libc := _libc():
+            libc.malloc_trim(0)
 
     return wrapped

@@ -34,7 +34,7 @@ PASS_BYTES = 128 << 20
 #: Words whose exact counts are broadcast: the most frequent, at most so many. Counts of others are joined.
 COMMON_WORDS = 150_000
 #: Distinct bigrams gathered before a worker sends them on, and meant for a segment.
-GATHERED, PER_SEGMENT = 1 << 21, 1 << 19
+GATHERED, PER_SEGMENT = 1 << 20, 1 << 19
 END = b""  # no word is empty
 _EMPTY = np.uint64(0)
 
@@ -51,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = 1 << 20
+_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -99,6 +99,7 @@ class Indexed:
         number.default_factory = number.__len__  # a new word's number is how many there are before it
         self.n = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.fromiter(map(number.__getitem__, chain([END], *texts)), np.int64, int(self.n.sum()) + 1)[1:]
+        number.default_factory = None  # else the dictionary holds itself, and its words stay
         self.words = list(number)
         self.start = np.cumsum(self.n) - self.n
         self.before = np.r_[0, self.at[:-1]]
@@ -209,7 +210,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for lo, hi, texts in _batches(batch, 0):
                 for ws, learn in zip(texts, batch.column(1)[lo:hi].to_pylist(), strict=True):
                     (train if learn else other).update(ws)
-                if len(train) + len(other) > 1 << 19:
+                if len(train) + len(other) > 1 << 18:
                     yield from out()
         yield from out()
 
