@@ -44,9 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+_marked: set[str] = set()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/foldwise/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/foldwise-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -68,10 +68,11 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
-    out = rated(docs, id_col, text, source, seed)
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of `docs`, each as often as the mix takes it; its columns keep their values whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    out = rated(packed, "id", "text", "source", seed)
+    out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
+    return out.select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

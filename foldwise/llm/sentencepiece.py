@@ -83,7 +83,6 @@ class Codec:
     """Encodes and decodes texts as the model does."""
 
     def __init__(self, path: str, threads: int = 2) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -129,6 +128,7 @@ class Codec:
         return [x[4:] for x in sorted(found)]
 
     def _batch(self, texts: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at each call; another operator may have run in this worker
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -174,7 +174,9 @@ def codec(path: str) -> Codec:
 
 
 def with_ids(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """`docs` with the ids of each whole text (array of int). Null and empty texts have none."""
+    """`docs` with the ids of each whole text (array of int). Null and empty texts have none; repeated rows get
+    equal ids, an empty table none; a column of the name `ids` is replaced."""
+    docs = docs.drop(ids)
     schema = T.StructType([*docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     at = docs.columns.index(text)
 

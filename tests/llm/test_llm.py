@@ -440,15 +440,84 @@ def test_bloom_levels():
 
 
 def test_pipeline(spark):
+    """What each stage keeps of its own input, against brute force."""
     import corpus_pipeline
+    from sentencepiece import SentencePieceProcessor
+
+    from foldwise.llm.common import written
 
+    stages = dict(corpus_pipeline.STAGES)
     docs = table(spark, SF, "documents")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF)
-        assert after.columns == docs.columns, name
-        from foldwise.llm.common import written
-
-        before = written(after, name)
-    out = corpus_pipeline.STAGES[-1][1](spark, before, SF)
-    assert out.count() == before.count() > 0
+    base = [r.asDict() for r in docs.collect()]
+    # Exact and near copies besides those there are, and rows of nulls and of no words.
+    rng = np.random.default_rng(8)
+    long = next(r for r in base if len((r["text"] or "").split(" ")) > 150)
+    near = long["text"].split(" ")
+    near[int(rng.integers(0, 100))] = "changed"
+    planted = [{**long, "doc_id": 10_001}, {**long, "doc_id": 10_002, "text": " ".join(near)}, {**long, "doc_id": 10_003, "text": None}, {**long, "doc_id": 10_004, "text": " \n", "source": None}, {**long, "doc_id": None, "text": "no id at all"}]
+    before = written(spark.createDataFrame(base + planted, docs.schema), "documents")
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    model = sentencepiece.model_path()
+    for name in stages:
+        rows, after = before.collect(), written(stages[name](spark, before, SF), name)
+        texts = {r["doc_id"]: r["text"] or "" for r in rows}
+        if name == "toxicity":
+            machine = toxicity.fitted(spark, SF, before)
+            want = [i for i, t in texts.items() if float(machine.probability(toxicity.Scorer(machine)([t])[0])) < toxicity.THRESHOLD]
+        elif name == "exact_dedup":
+            best = {}
+            for i, t in texts.items():
+                key = re.sub(r"[\x20\x09-\x0D]", "", t)
+                best[key] = min(best.get(key, (1, math.inf)), (-len(t), math.inf if i is None else i), key=lambda x: x)
+            want = [None if i == math.inf else i for _, i in best.values()]
+        elif name == "near_dedup":
+            found = jaccard_groups({i: t for i, t in texts.items() if i is not None})
+            want = [i for i in found if found[i] == i] + [None] * (None in texts)
+        elif name == "mixing":
+            rate = {r["source"]: (r["whole"], r["part"]) for r in mixing.targets(before.select("source", mixing.size(F.col("text")).alias("size"))).collect()}
+            chance = lambda i: int(__import__("hashlib").md5(":".join([mixing.SEED, *([] if i is None else [str(i)])]).encode()).hexdigest()[:13], 16) / 2**52
+            want = [r["doc_id"] for r in rows for _ in range(rate[r["source"]][0] + (chance(r["doc_id"]) < rate[r["source"]][1]))]
+        else:
+            theirs = SentencePieceProcessor(model_file=model)
+            want = [r["doc_id"] for r in rows]
+            assert all(r["token_ids"] == theirs.encode(texts[r["doc_id"]]) for r in after.collect())
+        assert ids(after) == sorted(want, key=str), name
+        assert name == "sentencepiece" or after.columns == docs.columns
+        before = after
+    kept = {r["doc_id"] for r in before.collect()}
+    assert kept and not kept & {10_001, 10_002}
+
+
+def test_pipeline_odd(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.withColumns({"token_ids": F.lit(1), "__size": F.lit(7), "__score": F.lit(0.0), "n_chars": F.length("text")})
+    for frame in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, SF)
+            rows = out.collect()
+            assert bool(rows) == bool(frame.count()), name
+            if name == "mixing" and rows:
+                assert {r["__size"] for r in rows} == {7}
+
+
+def test_shared_folder_is_left_empty(tmp_path):
+    """An application takes its tables along, and workers find the package wherever it is started."""
+    import subprocess
+    import sys
+
+    import foldwise
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(foldwise.__file__))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+print(len(__spark_entry__.queries()["op5_simhash"](spark, {SF!r}).collect()))
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip() == "200", done.stderr[-2000:]
+    assert not list((tmp_path / "shared").glob("foldwise*"))
