@@ -14,10 +14,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A large star links each larger neighbour of a node with the smallest node around it; a small star
     does so for the smaller neighbours. The rounds are logarithmic in the longest path. Minima combine
     before the shuffle, and joins to a hub are left to adaptive skew splitting. Only two numbers per
-    round reach the driver.
+    round reach the driver. A small star ahead, of grouped neighbours and no join, takes most of what
+    several comparisons found of one group: a node has as many smaller neighbours as comparisons gave it roots.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, before = written(pairs.distinct(), "edges"), None
+    stars = pairs.groupBy("a").agg(F.collect_set("b").alias("all")).withColumn("b", F.array_min("all"))
+    ends = stars.select(F.explode(F.array_union(F.array("a"), "all")).alias("a"), "b").where("a <> b")
+    now, before = written(ends.distinct(), "edges"), None
     while (state := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before:
         before = state
         if not state[0]:
