@@ -17,7 +17,7 @@ import math
 import re
 import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import chain
@@ -222,6 +222,25 @@ def words_of(token: str) -> list[str]:
     return [w for u in units(token) for w in windows(u)]
 
 
+class Remembered:
+    """A function of strings, remembered in a dictionary that begins anew when full; this changes no result."""
+
+    def __init__(self, function: Callable[[list[str]], list], most: int = 150_000) -> None:
+        self.function, self.most, self.known = function, most, {}
+
+    def __call__(self, strings: Collection[str]) -> dict:
+        """What is known, with all of `strings`."""
+        if len(self.known) > self.most:
+            self.known = {}
+        new = [s for s in strings if s not in self.known]
+        self.known.update(zip(new, self.function(new), strict=True))
+        return self.known
+
+
+def _all_words(tokens: list[str]) -> list[list[str]]:
+    return [words_of(t) for t in tokens]
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Words of one length, at most a thousand at once: their places, subsequences and weights."""
     sizes = np.array([len(w) for w in words], int)
@@ -467,11 +486,15 @@ def _rates(fitting: DataFrame, n1: int, n0: int) -> tuple[Rates, set[str]]:
 
     @trimmed
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_in, parts_in = Remembered(_all_words), Remembered(lambda words: [parts_of(w) for w in words], 50_000)
         for batch in batches:
             found = (Counter(), Counter())
             for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                words = {w for t in set(tokens(text)) for w in words_of(t)}
-                found[toxic].update(set().union(*map(parts_of, words)))
+                in_text = set(tokens(text))
+                of = words_in(in_text)
+                words = {w for t in in_text for w in of[t]}
+                parts = parts_in(words)
+                found[toxic].update(set().union(*map(parts.__getitem__, words)))
                 found[toxic].update(f"={w}" for w in words)
             keys = list(found[0] | found[1])
             yield pd.DataFrame({"part": pd.Series(keys, dtype=object), "toxic": pd.Series([found[1][k] for k in keys], dtype="int64"), "clean": pd.Series([found[0][k] for k in keys], dtype="int64")})
@@ -494,19 +517,21 @@ def _examples(fitting: DataFrame, rates: Rates, machine: Machine | None, halves:
     @trimmed
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rates, machine, halves = shared.value
+        words_in, rate_of = Remembered(_all_words), Remembered(rates)
+        margin_of = rate_of if machine is None else Remembered(lambda words: machine.margins(words).tolist())
         for batch in batches:
             out: Counter[tuple[str, int, float]] = Counter()
             both: Counter[tuple[str, int, float]] = Counter()
             for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                split = [[w for t in tokens(s) for w in words_of(t)] for s in SENTENCE.findall(text)]
-                split = [s for s in split if s]
-                words = list(set().union(*split))
-                rate = rates(words) if toxic or machine is None else None
-                margin = dict(zip(words, rate if machine is None else machine.margins(words).tolist(), strict=True))
+                split = [tokens(s) for s in SENTENCE.findall(text)]
+                of = words_in(set().union(*split))
+                split = [x for s in split if (x := [w for t in s for w in of[t]])]
+                words = set().union(*split)
+                margin = margin_of(words)
                 best = [max(s, key=margin.__getitem__) for s in split]
                 if toxic:
-                    told = {w for w, x in zip(words, rate, strict=True) if x > 0}
-                    best = [w for w in best if margin[w] > 0 and w in told]
+                    rate = rate_of(words)
+                    best = [w for w in best if margin[w] > 0 and rate[w] > 0]
                 out.update((w, toxic, margin[w]) for w in set(best))
                 if halves:
                     pairs = {tuple(sorted((s[i], s[j]))) for s in split for i in range(len(s)) if s[i] in halves for j in range(i + 1, min(len(s), i + NEAR + 1)) if s[j] in halves and s[j] != s[i]}
