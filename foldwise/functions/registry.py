@@ -27,13 +27,7 @@ ALIASES = {
     "rsorted": "rsort", "dsort": "rsort", "dsorted": "rsort",
 }
 # Names under which numpy has a function, where they differ from the alias of that name.
-_NUMPY = {
-    "nansum": "nansum", "nanprod": "nanprod", "nanmean": "nanmean", "nanvar": "nanvar", "nanstd": "nanstd",
-    "nanmin": "nanmin", "nanmax": "nanmax", "nanargmin": "nanargmin", "nanargmax": "nanargmax",
-    "nancumsum": "nancumsum", "nancumprod": "nancumprod", "median": None,
-    "logical_and": "all", "logical_or": "any", "alltrue": "all", "sometrue": "any", "size": "len", "array": "array",
-    "cumsum": "cumsum", "cumprod": "cumprod",
-}
+_NUMPY = {"logical_and": "all", "logical_or": "any", "size": "len", "asarray": "array"}
 
 
 def resolve(func: str | Callable) -> str | Callable:

@@ -152,16 +152,15 @@ def _called(df: DataFrame, keys: list[str], value: str, pos: str, funcs: list[Ca
     return df.select(*keys, *dict.fromkeys([pos, value])).groupBy(*keys).applyInPandas(call, schema)
 
 
-def broadcast_aggregate(df: DataFrame, by: str | Sequence[str], value: str, func: str, *, pos: str | None = None, fill_value: object = 0, ddof: int = 0, out: str = "value") -> DataFrame:
-    """Every row with its group's reduction, by a window over the group."""
+def broadcast_aggregate(df: DataFrame, by: str | Sequence[str], value: str, func: Func, *, pos: str | None = None, fill_value: object = 0, ddof: int = 0, dtype: T.DataType | None = None, out: str = "value") -> DataFrame:
+    """Every row with its group's result: of a reduction, a list or a callable that of the group, by a join to the
+    grouped result; running functions and sorts have a result a row, by a window. Labels are not checked."""
     by, name = _names(by), resolve(func)
     _checked(df, by, value, pos, [name], ddof)
-    kind = df.schema[value].dataType
-    if callable(name) or base(name) not in REDUCE:
-        raise ValueError("only reductions")
-    # Aggregates inside expressions take the window one by one; a join keeps each reduction as written.
-    got = group_aggregate(df, by, value, name, pos=pos, fill_value=fill_value, ddof=ddof, dense=False, validate=False, out=out)
-    checked_fill(name, result_type(name, kind), fill_value)
+    got = group_aggregate(df, by, value, name, pos=pos, fill_value=fill_value, ddof=ddof, dtype=dtype, dense=False, validate=False, out=out)
+    if not callable(name) and base(name) in (*RUNNING, *SORTS):
+        return got
+    # Aggregates inside expressions would take the window one by one; the join keeps each as written.
     return unpack(df, got.select(*by, out), by)
 
 

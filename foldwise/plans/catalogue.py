@@ -1,6 +1,7 @@
 """The library's queries over the star-schema tables, and their SQL.
 
-Events give labels (user_id, some left out so that there are holes), positions (event_id, unique) and values;
+Labels are keys with every seventh (of vectors, every fourth) number skipped, so that there are holes and every row
+takes part. Events give labels (of user_id), positions (event_id, unique) and values;
 NaN is set in every fifth event and in all of every eleventh user. NaN results are shown as -999.
 """
 
@@ -17,6 +18,26 @@ from ..operators import aggregate, axis, index_ops
 from ..sources.tables import load
 from ..streaming.reductions import windowed_aggregate
 
+#: Numbers between skipped ones.
+GAP, VECTOR_GAP = 6, 3
+
+
+def spaced(key: str, gap: int = GAP) -> Column:
+    """A label for a key: the whole numbers with every (gap + 1)th skipped."""
+    return F.expr(f"{key} + {key} div {gap}").cast("long")
+
+
+def _spaced_sql(key: str, gap: int = GAP) -> str:
+    return f"{key} + {key} // {gap}"
+
+
+_LINES = f"(SELECT * REPLACE ({_spaced_sql('l_suppkey')} AS l_suppkey) FROM lineitem)"
+
+
+def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_suppkey", *columns).withColumn("l_suppkey", spaced("l_suppkey"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 SHOWN_NAN = -999.0
 
@@ -33,13 +54,13 @@ def _sql_shown(x: str, digits: int = 4) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p, g, a, an): position, label, value, and value with NaN."""
-    e = load(spark, sf_dir, "events", "event_id", "user_id", "value").where("user_id % 7 <> 3")
+    e = load(spark, sf_dir, "events", "event_id", "user_id", "value")
     gap = (F.col("event_id") % 5 == 0) | (F.col("user_id") % 11 == 0)
-    return e.select(F.col("event_id").alias("p"), F.col("user_id").alias("g"), F.col("value").alias("a"), F.when(gap, F.lit(float("nan"))).otherwise(F.col("value")).alias("an"))
+    return e.select(F.col("event_id").alias("p"), spaced("user_id").alias("g"), F.col("value").alias("a"), F.when(gap, F.lit(float("nan"))).otherwise(F.col("value")).alias("an"))
 
 
-_EVENTS = """e AS (SELECT event_id AS p, user_id AS g, value AS a,
-  CASE WHEN event_id % 5 = 0 OR user_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE value END AS an FROM events WHERE user_id % 7 <> 3)"""
+_EVENTS = f"""e AS (SELECT event_id AS p, {_spaced_sql("user_id")} AS g, value AS a,
+  CASE WHEN event_id % 5 = 0 OR user_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE value END AS an FROM events)"""
 
 
 def _dense_sql(expr: str, fill: str, ctes: str = "", source: str = "e") -> str:
@@ -100,12 +121,12 @@ def _with_nan(func: str) -> tuple[Query, str]:
 
 def _spread(func: str, ddof: int) -> tuple[Query, str]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = load(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").where("l_suppkey % 7 <> 3")
+        e = lines(spark, sf_dir, "l_quantity")
         return aggregate.group_aggregate(e, "l_suppkey", "l_quantity", func, ddof=ddof, fill_value=-1).withColumn("value", shown("value"))
 
     spread = f"var_pop(l_quantity) * count(*) / (count(*) - {ddof})"
     spread = f"CASE WHEN count(*) > {ddof} THEN {spread if func == 'var' else f'sqrt({spread})'} END"
-    sql = f"""WITH r AS (SELECT l_suppkey, round({spread}, 4) AS v FROM lineitem WHERE l_suppkey % 7 <> 3 GROUP BY l_suppkey),
+    sql = f"""WITH r AS (SELECT l_suppkey, round({spread}, 4) AS v FROM {_LINES} GROUP BY l_suppkey),
       i AS (SELECT unnest(range(0, (SELECT max(l_suppkey) + 1 FROM r))) AS l_suppkey) SELECT i.l_suppkey, coalesce(v, -1) AS value FROM i LEFT JOIN r ON i.l_suppkey = r.l_suppkey"""
     return query, sql
 
@@ -161,18 +182,18 @@ def scalar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scalar_two_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber").where("l_suppkey % 7 <> 3")
+    e = lines(spark, sf_dir, "l_linenumber")
     return aggregate.group_aggregate(e, ["l_suppkey", "l_linenumber"], 1, "sum").withColumns({c: F.col(c).cast("long") for c in ("l_suppkey", "l_linenumber")})
 
 
 def _two_labels(order: str) -> tuple[Query, str]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = load(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_quantity").where("l_suppkey % 7 <> 3")
+        e = lines(spark, sf_dir, "l_linenumber", "l_quantity")
         out = aggregate.group_aggregate(e, ["l_suppkey", "l_linenumber"], "l_quantity", "sum", order=order, fill_value=-1)
         return out.select("index", "l_suppkey", "l_linenumber", F.round("value", 2).alias("value"))
 
     index = "i.l_suppkey * n1 + i.l_linenumber" if order == "C" else "i.l_suppkey + i.l_linenumber * n0"
-    return query, f"""WITH e AS (SELECT * FROM lineitem WHERE l_suppkey % 7 <> 3), n AS (SELECT max(l_suppkey) + 1 AS n0, max(l_linenumber)::BIGINT + 1 AS n1 FROM e),
+    return query, f"""WITH e AS {_LINES}, n AS (SELECT max(l_suppkey) + 1 AS n0, max(l_linenumber)::BIGINT + 1 AS n1 FROM e),
       r AS (SELECT l_suppkey, l_linenumber, sum(l_quantity) AS v FROM e GROUP BY ALL),
       i AS (SELECT a AS l_suppkey, b::BIGINT AS l_linenumber, n0, n1 FROM n, unnest(range(0, n0)) AS x(a), unnest(range(0, n1)) AS y(b))
       SELECT CAST({index} AS BIGINT) AS "index", i.l_suppkey, i.l_linenumber, coalesce(round(v, 2), -1) AS value FROM i LEFT JOIN r ON i.l_suppkey = r.l_suppkey AND i.l_linenumber = r.l_linenumber"""
@@ -180,7 +201,7 @@ def _two_labels(order: str) -> tuple[Query, str]:
 
 def _axis0(func: str) -> tuple[Query, str]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = load(spark, sf_dir, "embeddings").where("label % 4 <> 1")
+        e = load(spark, sf_dir, "embeddings").withColumn("label", spaced("label", VECTOR_GAP))
         e = e.withColumn("embedding", F.transform("embedding", lambda x: F.when(x < -0.15, F.lit(float("nan")).cast("float")).otherwise(x).cast("double")))
         out = axis.axis_aggregate(e, "embedding", func, 0, row="vec_id", labels="label", fill_value=-1)
         return out.select("dim", F.col("label").cast("long").alias("label"), F.col("value") if func.endswith("argmax") else shown("value").alias("value"))
@@ -189,7 +210,7 @@ def _axis0(func: str) -> tuple[Query, str]:
     if func == "nanargmax":
         expr = "min(vec_id) FILTER (WHERE x = top)"
     value = expr if func == "nanargmax" else f"round({expr}, 4)"
-    return query, f"""WITH c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings WHERE label % 4 <> 1),
+    return query, f"""WITH c AS (SELECT vec_id, {_spaced_sql("label", VECTOR_GAP)} AS label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings),
       k AS (SELECT *, max(x) OVER (PARTITION BY dim, label) AS top FROM c WHERE x >= -0.15::FLOAT),
       r AS (SELECT dim, label, {value} AS v FROM k GROUP BY dim, label),
       i AS (SELECT d.dim, g AS label FROM (SELECT DISTINCT dim FROM c) d, unnest(range(0, (SELECT max(label)::BIGINT + 1 FROM c))) AS t(g))
@@ -219,6 +240,16 @@ def uaggregate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.broadcast_aggregate(e, "g", "an", "nanmean", fill_value=-1).select("p", "g", shown("value").alias("value"))
 
 
+def uaggregate_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("p", "g", F.floor("a").cast("double").alias("a"))
+    return aggregate.broadcast_aggregate(e, "g", "a", weighted_by_place, pos="p").select("p", "g", F.round("value", 3).alias("value"))
+
+
+def uaggregate_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("p", "g", "a")
+    return aggregate.broadcast_aggregate(e, "g", "a", "cumsum", pos="p").select("p", "g", shown("value", 3).alias("value"))
+
+
 def unpack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("p", "g", "a")
     totals = aggregate.group_aggregate(e, "g", "a", "max", fill_value=-1)
@@ -283,14 +314,14 @@ def windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense reductions per supplier: one scan, one shuffle, holes filled."""
-    e = load(spark, sf_dir, "lineitem", "l_suppkey", "l_extendedprice", "l_discount").where("l_suppkey % 7 <> 3")
+    """Dense reductions per supplier, holes filled: a small job finds the labels' extent, then one scan and one shuffle."""
+    e = lines(spark, sf_dir, "l_extendedprice")
     out = aggregate.group_aggregate(e, "l_suppkey", "l_extendedprice", ["sum", "mean", "nanvar", "min", "max", "len"], fill_value=0)
     return out.select("l_suppkey", *(F.round(c, 2).alias(f"price_{c}") for c in ("sum", "mean", "nanvar", "min", "max")), F.col("len").alias("n"))
 
 
-_FLAGSHIP_SQL = """WITH r AS (SELECT l_suppkey, sum(l_extendedprice) AS s, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n
-  FROM lineitem WHERE l_suppkey % 7 <> 3 GROUP BY l_suppkey), i AS (SELECT unnest(range(0, (SELECT max(l_suppkey) + 1 FROM r))) AS l_suppkey)
+_FLAGSHIP_SQL = f"""WITH r AS (SELECT l_suppkey, sum(l_extendedprice) AS s, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n
+  FROM {_LINES} GROUP BY l_suppkey), i AS (SELECT unnest(range(0, (SELECT max(l_suppkey) + 1 FROM r))) AS l_suppkey)
   SELECT i.l_suppkey, round(coalesce(s, 0), 2) AS price_sum, round(coalesce(m, 0), 2) AS price_mean, round(coalesce(v, 0), 2) AS price_nanvar, round(coalesce(lo, 0), 2) AS price_min, round(coalesce(hi, 0), 2) AS price_max, coalesce(n, 0) AS n
   FROM i LEFT JOIN r ON i.l_suppkey = r.l_suppkey"""
 
@@ -312,6 +343,8 @@ def _all() -> dict[str, tuple[Query, str]]:
     out["axis1_argmax"] = (axis1_query, f"WITH {_AXIS1}, t AS (SELECT *, max(x) OVER (PARTITION BY vec_id, label) AS top FROM l), r AS (SELECT vec_id, label, min(k) FILTER (WHERE x = top) AS v FROM t GROUP BY ALL), i AS (SELECT vec_id, g AS label FROM embeddings, unnest(range(0, 5)) AS u(g)) SELECT i.vec_id, i.label, coalesce(v, -1) AS value FROM i LEFT JOIN r ON i.vec_id = r.vec_id AND i.label = r.label")
     out["axis1_cumsum"] = (axis_cumsum_query, f"WITH {_AXIS1} SELECT vec_id, k AS place, CAST(sum(CAST(round(x * 1000) AS BIGINT)) OVER (PARTITION BY vec_id, label ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM l")
     out["uaggregate"] = (uaggregate_query, f"WITH {_EVENTS} SELECT p, g, coalesce(round(avg(an) FILTER (WHERE NOT isnan(an)) OVER (PARTITION BY g), 4), -1) AS value FROM e")
+    out["uaggregate_callable"] = (uaggregate_callable, f"WITH {_EVENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS k FROM e) SELECT p, g, round(sum(floor(a) * k) OVER (PARTITION BY g), 3) AS value FROM k")
+    out["uaggregate_cumsum"] = (uaggregate_cumsum, f"WITH {_EVENTS} SELECT p, g, round(sum(a) {_WINDOW}, 3) AS value FROM e")
     out["unpack"] = (unpack_query, f"WITH {_EVENTS} SELECT p, g, round(max(a) OVER (PARTITION BY g), 4) AS value FROM e")
     out["multi_arange"] = (multi_arange_query, "SELECT p, unnest(range(0, n)) AS value FROM (SELECT event_id AS p, event_id % 4 - 1 AS n FROM events) WHERE n > 0")
     out["label_runs"] = (label_runs_query, f"WITH {_RUNS_SQL} SELECT p, x, CASE WHEN x = 0 THEN 0 ELSE CAST(sum(CASE WHEN x <> 0 AND (y IS NULL OR x <> y) THEN 1 ELSE 0 END) OVER (ORDER BY p) AS BIGINT) END AS label FROM b")

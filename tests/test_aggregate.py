@@ -130,6 +130,10 @@ def test_axes(spark):
 def test_broadcast_and_unpack(spark):
     df = from_array(spark, [1, 1, 0], [2.0, N, 5.0])
     assert [r["value"] for r in broadcast_aggregate(df, "g", "a", "nansum").orderBy("p").collect()] == [2.0, 2.0, 5.0]
+    assert [r["value"] for r in broadcast_aggregate(df, "g", "a", "nancumsum", pos="p").orderBy("p").collect()][-1] == 5.0
+    assert len({tuple(r["value"]) for r in broadcast_aggregate(df, "g", "p", "array", pos="p").collect()}) == 2
+    assert broadcast_aggregate(df, "g", "p", lambda x: float(len(x)), pos="p").count() == 3
+    assert resolve(np.asarray) == "array"
     assert [r["value"] for r in unpack(df, group_aggregate(df, "g", "a", "nansum"), "g").orderBy("p").collect()] == [2.0, 2.0, 5.0]
 
 
