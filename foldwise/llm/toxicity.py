@@ -70,8 +70,17 @@ def tokens(text: str) -> list[str]:
     return [*text.split(), *("".join(m[0].split()) for m in SPELLED.finditer(text))]
 
 
+def coded(words: list[str]) -> np.ndarray:
+    """The letter codes of words of one length, as rows."""
+    signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
+    out = np.empty((len(words), signs.shape[1] + 2), np.int32)
+    out[:, 0], out[:, -1] = START, END
+    out[:, 1:-1] = np.where((signs >= 97) & (signs <= 122), signs - 96, 27 + signs % 13)
+    return out
+
+
 def letters(unit: str) -> list[int]:
-    return [START, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 13 for c in unit), END]
+    return coded([unit])[0].tolist()
 
 
 def windows(unit: str) -> list[str]:
@@ -83,7 +92,7 @@ def windows(unit: str) -> list[str]:
 @cache
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the subsequences of n letters, and their weights."""
-    at = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))], np.int64).reshape(-1, 3)
+    at = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))], np.int32).reshape(-1, 3)
     return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
@@ -91,9 +100,10 @@ def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of words of one length (rows of letter codes): subsequences and weights scaled to norm one."""
     at, weight = _triples(codes.shape[1])
     c = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
-    order = np.argsort(c, axis=1, kind="stable")
-    c = np.take_along_axis(c, order, 1)
-    total = np.cumsum(weight[order], axis=1)
+    # A word of WINDOW letters has fewer than 256 subsequences: sorting them with their places is a stable sort.
+    c = np.sort(c * 256 + np.arange(c.shape[1], dtype=np.int32), axis=1)
+    total = np.cumsum(weight[c & 255], axis=1)
+    c >>= 8
     last = np.ones(c.shape, bool)
     last[:, :-1] = c[:, 1:] != c[:, :-1]
     # The weight of a run of equal subsequences stands at its last place.
@@ -125,7 +135,7 @@ def features(words: list[str]) -> Features:
     width = len(_triples(WINDOW + 2)[0])
     out = Features(np.zeros((len(words), width), np.int32), np.zeros((len(words), width), np.float32))
     for k, word in enumerate(words):
-        c, w = subsequences(np.array([letters(word)]))
+        c, w = subsequences(coded([word]))
         out.at[k, : c.shape[1]], out.weight[k, : c.shape[1]] = c[0], w[0]
     return out
 
@@ -195,9 +205,10 @@ class Machine:
 
     def of_tokens(self, tokens: list[str]) -> list[float]:
         """The worst margin of the units of each token; FLOOR if it has none."""
-        parts = [words_of(t) for t in tokens]
-        found = iter(self.margins(list(chain.from_iterable(parts))).tolist())
-        return [max((next(found) for _ in p), default=FLOOR) for p in parts]
+        parts = list(map(words_of, tokens))
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
+        found = dict(zip(words, self.margins(words).tolist(), strict=True))
+        return [found[p[0]] if len(p) == 1 else max(map(found.__getitem__, p), default=FLOOR) for p in parts]
 
     def of_pairs(self, near: list[tuple[tuple[int, float], ...]]) -> float:
         """The worst margin of the pairs among the words of a sentence, given what each is near."""
@@ -219,6 +230,9 @@ class Machine:
 
 def words_of(token: str) -> list[str]:
     """What a token is scored by: its units, long ones in windows."""
+    bare = token.lower().rstrip(",.;:!?)").lstrip("(")
+    if bare.isalpha() and len(bare) <= WINDOW:  # most tokens: `units` gives the same
+        return [bare]
     return [w for u in units(token) for w in windows(u)]
 
 
@@ -248,7 +262,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         at = np.flatnonzero(sizes == n)
         for lo in range(0, len(at), 1000):
             part = at[lo : lo + 1000]
-            yield part, *subsequences(np.array([letters(words[k]) for k in part]))
+            yield part, *subsequences(coded([words[k] for k in part]))
 
 
 class Scorer:
