@@ -67,7 +67,7 @@ def _complex(part: Callable[[Column], Column]) -> Callable[[Values], Column]:
 REDUCE: dict[str, Callable[[Values], Column]] = {
     "sum": lambda v: _complex(F.sum)(v) if isinstance(v.kind, T.StructType) else F.sum(v.wide),
     "prod": lambda v: F.product(v.wide),
-    "len": lambda v: F.nullif(F.count(v.kept), F.lit(0)) if v.skip else F.count(F.lit(1)),
+    "len": lambda v: F.nullif(F.count(v.kept), F.lit(0)) if v.skip else F.count(v.a),
     "mean": lambda v: _complex(F.avg)(v) if isinstance(v.kind, T.StructType) else F.avg(v.kept.cast("double")),
     "var": _spread,
     "std": lambda v: F.sqrt(_spread(v)),

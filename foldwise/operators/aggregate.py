@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import prod
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import REDUCE, RUN, Values, reduction
 from ..functions.registry import LISTS, NEEDS_POS, RUNNING, SORTS, resolve
 from ..functions.typing import FLOATING, INTEGRAL, base, checked_fill, result_type
-from .dense import densified, sizes_of
+from .dense import check_now, checked_label, checked_value, declared, densified, inferred, place, whole
 
 Func = str | Callable
 
@@ -39,7 +38,7 @@ def _checked(df: DataFrame, by: list[str], value: object, pos: str | None, funcs
 
 def group_aggregate(
     df: DataFrame, by: str | Sequence[str], value: str | float, func: Func | Sequence[Func] = "sum", *, pos: str | None = None, size: int | Sequence[int] | None = None,
-    fill_value: object = 0, ddof: int = 0, dtype: T.DataType | None = None, order: str = "C", over: str | Sequence[str] = (), dense: bool = True, validate: bool = True, reverse: bool = False, out: str | None = None,
+    fill_value: object = 0, ddof: int = 0, dtype: T.DataType | None = None, order: str = "C", over: str | Sequence[str] = (), dense: bool = True, validate: bool = True, eager: bool = False, reverse: bool = False, out: str | None = None,
 ) -> DataFrame:
     """Aggregates `value` by the labels `by`.
 
@@ -50,9 +49,11 @@ def group_aggregate(
     with one more column. Several functions make several columns from one scan and one shuffle.
 
     Functions of the rows' order need `pos`. In floating values null reads as NaN; other null values, null,
-    negative or too large labels are errors: ValueError from one small job ahead (validate), and with
-    validate=False rows of such labels give no result. No rows and no size is a ValueError. A callable
-    gets a group's values, ordered, as a pandas Series; its group has to fit one task's memory.
+    negative or too large labels and no rows without a size are errors, raised when the plan runs; with `eager` they
+    are ValueErrors of a small job ahead. With validate=False rows of such labels give no result. No job runs while
+    the plan is made otherwise: sizes not given are taken from the grouped result, which is shuffled once and read twice
+    (with callables, from another scan of the labels). A callable gets a group's values, ordered, as a pandas
+    Series; its group has to fit one task's memory.
     """
     by, over = _names(by), _names(over)
     several = not (isinstance(func, str) or callable(func))
@@ -63,10 +64,12 @@ def group_aggregate(
     names = [f if isinstance(f, str) else getattr(f, "__name__", "callable") for f in funcs] if several else [out or "value"]
     scalar = not isinstance(value, str)
     kind = (T.LongType() if isinstance(value, int) else T.DoubleType()) if scalar else df.schema[value].dataType
-    if validate or size is None and dense:
-        sizes = sizes_of(df, by, size, None if scalar or isinstance(kind, FLOATING) else value, validate)
-    else:
-        sizes = None if size is None else ([size] if isinstance(size, int) else list(size))
+    sizes = declared(by, size)
+    unchecked = None if scalar or isinstance(kind, FLOATING) else value
+    if eager:
+        check_now(df, by, sizes, unchecked)
+    elif validate and unchecked:
+        df = df.withColumn(value, checked_value(value))
 
     a = F.lit(value) if scalar else F.col(value)
     p = F.col(pos) if pos else None
@@ -74,6 +77,8 @@ def group_aggregate(
     if any(running):
         if not all(running):
             raise ValueError("functions that keep the rows and functions that reduce them don't mix")
+        if validate and not eager:
+            df = df.withColumns({c: checked_label(c, n) for c, n in zip(by, sizes or [None] * len(by), strict=True)})
         for f, name in zip(funcs, names, strict=True):
             df = _sorted(df, by + over, value, pos, f == "rsort", name) if f in SORTS else _run(df, by + over, a, p, kind, f, fill_value, name)
         return df
@@ -87,21 +92,23 @@ def group_aggregate(
     if plain:
         made = df.groupBy(*over, *by).agg(*(_column(f, a, p, kind, ddof, value if scalar else None).alias(f"__{i}") for i, f in plain))
         got = made if not calls else made.join(got, by + over)
+    if validate and not eager:
+        got = got.withColumns({c: checked_label(c, n) for c, n in zip(by, sizes or [None] * len(by), strict=True)})
     if dense:
-        got = densified(got, by, over, sizes, order)
-    elif len(by) > 1 and sizes:
-        got = got.withColumn("index", _flat(by, sizes, order))
+        # The join below keeps no null label; said here, its filter is the same wherever `got` is read.
+        for c in by:
+            got = got.where(F.col(c).isNotNull())
+    high = inferred(df if calls else whole(got), by, validate) if sizes is None else None
+    if dense:
+        got = densified(got, by, over, sizes, order, high)
+    elif len(by) > 1:
+        shape = [f"__size{k}" for k in range(len(by))] if sizes is None else [f"{s}L" for s in sizes]
+        known = {n: high.select(n).scalar() for n in shape} if sizes is None else {}
+        got = got.withColumns(known).withColumn("index", place(by, shape, order))
     result = [F.coalesce(F.col(f"__{i}").cast(k), _fill(fill_value, k)).alias(n) for i, (k, n) in enumerate(zip(kinds, names, strict=True))]
     return got.select(*over, *by, *(["index"] if len(by) > 1 and "index" in got.columns else []), *result)
 
 
-def _flat(by: list[str], sizes: list[int], order: str) -> Column:
-    place = F.lit(0).cast("long")
-    for k, c in enumerate(by):
-        place = place + F.col(c) * (prod(sizes[k + 1 :]) if order == "C" else prod(sizes[:k]))
-    return place
-
-
 def _kind(func: Func, kind: T.DataType, dtype: T.DataType | None, fill: object) -> T.DataType:
     if callable(func):
         return dtype or T.DoubleType()

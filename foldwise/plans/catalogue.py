@@ -225,6 +225,29 @@ def axis1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.axis_aggregate(e, "embedding", "argmax", 1, row="vec_id", labels=_PLACES, fill_value=-1)
 
 
+#: Labels of eight places, with a hole at 2.
+_EIGHT = [0, 1, 1, 3, 0, 1, 3, 0]
+
+
+def _deep(func: str, axis_no: int) -> tuple[Query, str]:
+    """Vectors as arrays of eight by eight, so three dimensions with the rows."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+        eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+        e = load(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("embedding", thousandths).withColumn("embedding", eight)
+        return axis.axis_aggregate(e, "embedding", func, axis_no, row="vec_id", labels=_EIGHT, fill_value=-1)
+
+    along, other, name = ("j", "i", "dim1") if axis_no % 3 == 2 else ("i", "j", "dim2")
+    value = {"sum": "CAST(sum(x) AS BIGINT)", "nanargmax": f"min({along}) FILTER (WHERE x = top)"}[func]
+    return query, f"""WITH c AS (SELECT vec_id, CAST(round(unnest(embedding)::DOUBLE * 1000) AS BIGINT) AS x, unnest(range(0, 64)) AS k FROM embeddings),
+      d AS (SELECT *, k // 8 AS i, k % 8 AS j FROM c), l AS (SELECT *, {_EIGHT}[{along} + 1]::BIGINT AS label FROM d),
+      t AS (SELECT *, max(x) OVER (PARTITION BY vec_id, {other}, label) AS top FROM l),
+      r AS (SELECT vec_id, {other}, label, {value} AS v FROM t GROUP BY ALL),
+      g AS (SELECT DISTINCT vec_id, o::BIGINT AS {other}, n::BIGINT AS label FROM embeddings, unnest(range(0, 8)) AS a(o), unnest(range(0, 4)) AS b(n))
+      SELECT g.vec_id, g.{other} AS {name}, g.label, coalesce(v, -1) AS value FROM g LEFT JOIN r ON g.vec_id = r.vec_id AND g.{other} = r.{other} AND g.label = r.label"""
+
+
 def axis_cumsum_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
     e = load(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("embedding", thousandths)
@@ -340,6 +363,7 @@ def _all() -> dict[str, tuple[Query, str]]:
     out["scalar_two_labels"] = (scalar_two_labels, _two_labels("C")[1].replace("sum(l_quantity)", "count(*)").replace("coalesce(round(v, 2), -1)", "coalesce(v, 0)"))
     out |= {"two_labels_c": _two_labels("C"), "two_labels_f": _two_labels("F")}
     out |= {f"axis0_{f}": _axis0(f) for f in ("nansum", "nanmax", "nanargmax")}
+    out |= {"axis2_nanargmax": _deep("nanargmax", 2), "axis_minus1_sum": _deep("sum", -1), "axis1_of_three_sum": _deep("sum", 1)}
     out["axis1_argmax"] = (axis1_query, f"WITH {_AXIS1}, t AS (SELECT *, max(x) OVER (PARTITION BY vec_id, label) AS top FROM l), r AS (SELECT vec_id, label, min(k) FILTER (WHERE x = top) AS v FROM t GROUP BY ALL), i AS (SELECT vec_id, g AS label FROM embeddings, unnest(range(0, 5)) AS u(g)) SELECT i.vec_id, i.label, coalesce(v, -1) AS value FROM i LEFT JOIN r ON i.vec_id = r.vec_id AND i.label = r.label")
     out["axis1_cumsum"] = (axis_cumsum_query, f"WITH {_AXIS1} SELECT vec_id, k AS place, CAST(sum(CAST(round(x * 1000) AS BIGINT)) OVER (PARTITION BY vec_id, label ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM l")
     out["uaggregate"] = (uaggregate_query, f"WITH {_EVENTS} SELECT p, g, coalesce(round(avg(an) FILTER (WHERE NOT isnan(an)) OVER (PARTITION BY g), 4), -1) AS value FROM e")

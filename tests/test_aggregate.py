@@ -127,6 +127,79 @@ def test_axes(spark):
         axis_aggregate(df, "m", "sum", 2, row="row", labels=labels)
 
 
+def along(values, labels, axis, func, size):
+    """Brute force: {(other places.., label): result of the group along an axis}."""
+    out = {}
+    moved = np.moveaxis(values, axis, -1)
+    for at in np.ndindex(*moved.shape[:-1]):
+        for label in range(size):
+            out[(*at, label)] = func([(k, x) for k, x in enumerate(moved[at]) if labels[k] == label])
+    return out
+
+
+IN_ROWS = {
+    "sum": sum, "prod": math.prod, "max": max, "first": lambda x: x[0], "last": lambda x: x[-1], "mean": np.mean, "nanmean": np.nanmean, "nanvar": np.nanvar, "nanstd": np.nanstd,
+    "nanmin": np.nanmin, "nansum": np.nansum, "min": lambda x: np.min(x), "len": len, "nanlen": lambda x: sum(not math.isnan(v) for v in x), "sumofsquares": lambda x: sum(v * v for v in x), "anynan": lambda x: any(map(math.isnan, x)),
+    "all": lambda x: all(v != 0 for v in x), "nanfirst": lambda x: [v for v in x if not math.isnan(v)][0], "var": np.var,
+}
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2, 3, -1, -3])
+def test_axes_of_deep_arrays(spark, axis):
+    rng = np.random.default_rng(5)
+    shape = (4, 3, 5, 4)
+    values = np.round(rng.standard_normal(shape), 3)
+    values[1, :, 2, 0] = N
+    k = axis % 4
+    labels = [0, 2, 2, 0, 2][: shape[k]]
+    df = spark.createDataFrame([(r, [0, 2, 2, 0][r], values[r].tolist()) for r in range(4)], "row long, g long, m array<array<array<double>>>")
+    funcs = list(IN_ROWS)
+    got = axis_aggregate(df, "m", funcs, axis, row="row", labels="g" if k == 0 else labels, size=4, fill_value=0)
+    keys = [c for c in ("row", "dim1", "dim2", "dim3") if c in got.columns] + ["g" if k == 0 else "label"]
+    rows = {tuple(r[c] for c in keys): r for r in got.collect()}
+    for f in funcs:
+        def group(cells, f=f):
+            x = [v for _, v in cells]
+            if not x or f.startswith("nan") and all(map(math.isnan, x)):
+                return None
+            return IN_ROWS[f](x) if f != "max" else (N if any(map(math.isnan, x)) else max(x))
+
+        for at, want in along(values, labels, k, group, 4).items():
+            assert same([float(rows[at][f])], [0.0 if want is None else float(want)]) or np.isclose(float(rows[at][f]), float(want)), (f, at)
+    assert len(rows) == math.prod(shape) // shape[k] * 4
+
+
+@pytest.mark.parametrize("func", ["cumsum", "nancumsum", "cumprod", "cummax", "cummin", "nancummax", "nancummin", "sort", "rsort"])
+def test_running_along_an_axis(spark, func):
+    """Within rows as over rows."""
+    values = [[3.0, N, 1.0, 2.0, -4.0, 2.5], [N, N, 7.0, 1.0, 9.0, 0.0], [1.0, 2.0, 0.5, N, 2.0]]
+    labels = [1, 0, 1, 1, 0, 1]
+    df = spark.createDataFrame(list(enumerate(values)), "row long, m array<double>")
+    got = {(r["row"], r["d1"]): r["value"] for r in axis_aggregate(df, "m", func, 1, row="row", labels=labels, fill_value=-9).collect()}
+    tall = spark.createDataFrame([(r, k, labels[k], x) for r, m in enumerate(values) for k, x in enumerate(m)], "row long, p long, g long, a double")
+    want = {(r["row"], r["p"]): r["value"] for r in group_aggregate(tall, ["row", "g"], "a", func, pos="p", fill_value=-9).collect()}
+    assert got.keys() == want.keys() and same([got[k] for k in got], [want[k] for k in got])
+
+
+def test_within_rows_no_shuffle(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3]), (1, None), (2, []), (3, [7])], "row long, m array<int>")
+    for func in ("sum", "nanargmax", "cumsum", "sort"):
+        assert not any("Exchange" in line for line in final_plan(axis_aggregate(df, "m", func, 1, row="row", labels=[0, 1, 1])))
+    got = {(r["row"], r["label"]): r["value"] for r in axis_aggregate(df, "m", "argmin", 1, row="row", labels=[0, 1, 1], fill_value=-1).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (3, 0): 0, (3, 1): -1}
+    few = axis_aggregate(df, "m", "array", 1, row="row", labels=[0, 1, 1], dense=False).collect()
+    assert sorted((r["row"], r["label"], r["value"]) for r in few) == [(0, 0, [1]), (0, 1, [2, 3]), (3, 0, [7])]
+    called = axis_aggregate(df, "m", lambda x: float(x.iloc[-1]), 1, row="row", labels=[0, 1, 1], fill_value=-1)
+    assert sorted((r["row"], r["label"], r["value"]) for r in called.collect()) == [(0, 0, 1.0), (0, 1, 3.0), (3, 0, 7.0), (3, 1, -1.0)]
+    with pytest.raises(Exception, match="more than the 2 labelled places"):
+        axis_aggregate(df, "m", "sum", 1, row="row", labels=[0, 1]).collect()
+    with pytest.raises(Exception, match="null values"):
+        axis_aggregate(spark.createDataFrame([(0, [1, None])], "row long, m array<int>"), "m", "sum", 1, row="row", labels=[0, 1]).collect()
+    ragged = spark.createDataFrame([(0, [[1.0, 2.0], [3.0]])], "row long, m array<array<double>>")
+    with pytest.raises(Exception, match="differ in length"):
+        axis_aggregate(ragged, "m", "sum", 1, row="row", labels=[0, 1]).collect()
+
+
 def test_broadcast_and_unpack(spark):
     df = from_array(spark, [1, 1, 0], [2.0, N, 5.0])
     assert [r["value"] for r in broadcast_aggregate(df, "g", "a", "nansum").orderBy("p").collect()] == [2.0, 2.0, 5.0]
@@ -159,14 +232,69 @@ def test_errors(spark, g, kw, error):
     df = from_array(spark, np.array(g, dtype=None if g else np.int64), np.array([1.0] * len(g))) if g else spark.createDataFrame([], "g long, a double, p long")
     kw = {"value": "a", "func": "sum"} | kw
     with pytest.raises(error):
-        group_aggregate(df, "g", kw.pop("value"), kw.pop("func"), **kw)
+        group_aggregate(df, "g", kw.pop("value"), kw.pop("func"), eager=True, **kw)
+
+
+@pytest.mark.parametrize("g, kw, said", [([0, -1], {}, "negative labels in g"), ([0, 5], {"size": 5}, "labels in g reach 5, beyond the size 5"), ([0, None], {}, "null labels in g"), ([], {}, "no rows: give the size"), ([0, 1], {"value": "i"}, "null values in i"), ([0, -1], {"func": "cumsum", "pos": "p"}, "negative labels in g"), ([0, None], {"func": lambda x: 1.0, "pos": "p"}, "null labels in g"), ([0, 1], {"value": "i", "func": "len"}, "null values in i")])
+def test_errors_of_the_running_plan(spark, g, kw, said):
+    df = spark.createDataFrame([(x, 1.0, k, None) for k, x in enumerate(g)], "g long, a double, p long, i int")
+    kw = {"value": "a", "func": "sum"} | kw
+    plan = group_aggregate(df, "g", kw.pop("value"), kw.pop("func"), **kw)
+    with pytest.raises(Exception, match=said):
+        plan.collect()
+
+
+def test_labels_left_out_without_checks(spark):
+    df = spark.createDataFrame([(x, 1.0) for x in (0, -1, None, 2, 2)], "g long, a double")
+    for size in (None, 3):
+        assert [r["value"] for r in group_aggregate(df, "g", "a", "sum", size=size, validate=False).orderBy("g").collect()] == [1.0, 0.0, 2.0]
+    assert group_aggregate(df.where("false"), "g", "a", "sum", validate=False).count() == 0
+
+
+def final_plan(df):
+    """The lines of the plan that ran, without what was planned at first."""
+    kept, hidden = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = next((k for k, c in enumerate(line) if c not in " :|+-"), len(line))
+        if hidden is not None and at >= hidden:
+            continue
+        hidden = at if "Initial Plan" in line else None
+        if hidden is None:
+            kept.append(line)
+    return kept
+
+
+def test_one_scan_and_no_job_ahead(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 7 * 2).alias("g"), (F.col("id") % 3).alias("d"), F.col("id").cast("double").alias("a"), F.col("id").alias("p")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    spark.sparkContext.setJobGroup("planning", "")
+    plans = [group_aggregate(df, "g", "a", ["sum", "nanmax", "first"], pos="p"), group_aggregate(df, "g", "a", "sum", over="d"), group_aggregate(df, ["g", "d"], "a", "sum"), group_aggregate(df, "g", "a", "sum", size=20)]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext._jsc.clearJobGroup()
+    for plan, rows in zip(plans, (13, 39, 39, 20), strict=True):
+        assert len(plan.collect()) == rows
+        assert sum("FileScan parquet" in line for line in final_plan(plan)) == 1
+
+
+def test_large_label_space_with_further_keys(spark):
+    df = spark.createDataFrame([(0, 3_000_000_000, 1.0)], "d long, g long, a double")
+    out = group_aggregate(df, "g", "a", "sum", over="d")
+    assert out.select("g", "value").head() is not None
+    few = group_aggregate(df.withColumn("g", F.lit(200_000)), "g", "a", "sum", over="d")
+    assert few.agg(F.count("*"), F.sum("value"), F.max("g")).first()[:] == (200_001, 1.0, 200_000)
+
+
+def test_null_in_further_keys(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (5, 0, 3.0)], "d long, g long, a double")
+    got = {(r["d"], r["g"]): r["value"] for r in group_aggregate(df, "g", "a", "sum", over="d").collect()}
+    assert got == {(None, 0): 0.0, (None, 1): 2.0, (5, 0): 3.0, (5, 1): 0.0}
 
 
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(0, 1.0, 0), (0, None, 1), (1, 2.0, 2)], "g long, a double, p long")
     assert same([r["value"] for r in group_aggregate(df, "g", "a", "sum").orderBy("g").collect()], [N, 2.0])
     with pytest.raises(ValueError):
-        group_aggregate(df.withColumn("a", F.col("a").cast("int")), "g", "a", "sum")
+        group_aggregate(df.withColumn("a", F.col("a").cast("int")), "g", "a", "sum", eager=True)
     empty = df.where("false")
     assert [r["value"] for r in group_aggregate(empty, "g", "a", "sum", size=2, fill_value=4).collect()] == [4.0, 4.0]
     with pytest.raises(ValueError):
