@@ -337,7 +337,7 @@ def windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense reductions per supplier, holes filled: a small job finds the labels' extent, then one scan and one shuffle."""
+    """Dense reductions per supplier, holes filled: one scan, whose one shuffle is read for the labels' extent and for the result."""
     e = lines(spark, sf_dir, "l_extendedprice")
     out = aggregate.group_aggregate(e, "l_suppkey", "l_extendedprice", ["sum", "mean", "nanvar", "min", "max", "len"], fill_value=0)
     return out.select("l_suppkey", *(F.round(c, 2).alias(f"price_{c}") for c in ("sum", "mean", "nanvar", "min", "max")), F.col("len").alias("n"))

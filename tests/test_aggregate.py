@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise import NAMES, axis_aggregate, broadcast_aggregate, from_array, group_aggregate, resolve, unpack, windowed_aggregate
+from foldwise.operators import aggregate
 
 N = math.nan
 
@@ -181,6 +182,26 @@ def test_running_along_an_axis(spark, func):
     assert got.keys() == want.keys() and same([got[k] for k in got], [want[k] for k in got])
 
 
+@pytest.mark.parametrize("func", ["cumsum", "nancumsum", "cumprod", "nancumprod", "cummax", "nancummax", "cummin", "nancummin"])
+@pytest.mark.parametrize("start", ["value", "nan"])
+def test_hot_labels_run_in_parts(spark, monkeypatch, func, start):
+    """A label cut into many parts runs as it does whole; null labels and sparse positions too."""
+    rng = np.random.default_rng(3)
+    a = (rng.integers(-8, 8, 300) + 0.5) / 4  # sums are exact
+    a[rng.integers(0, 300, 20)] = N
+    a[:40] = N if start == "nan" else 1.5
+    g = [0 if k % 4 else (None if k % 8 else k) for k in range(300)]
+    df = spark.createDataFrame([(x, float(v), int(k) ** 2) for k, (x, v) in enumerate(zip(g, a, strict=True))], "g long, a double, p long")
+    runs = lambda: [r["value"] for r in group_aggregate(df, "g", "a", func, pos="p", validate=False, fill_value=-9).orderBy("p").collect()]
+    whole = runs()
+    monkeypatch.setattr(aggregate, "PART_ROWS", 10)
+    assert same(runs(), whole)
+    whole_numbers = df.withColumn("a", F.floor(F.nanvl("a", F.lit(1.0)) * 10).cast("int"))
+    parts = [r["value"] for r in group_aggregate(whole_numbers, "g", "a", func, pos="p", validate=False).orderBy("p").collect()]
+    monkeypatch.undo()
+    assert same(parts, [r["value"] for r in group_aggregate(whole_numbers, "g", "a", func, pos="p", validate=False).orderBy("p").collect()])
+
+
 def test_within_rows_no_shuffle(spark):
     df = spark.createDataFrame([(0, [1, 2, 3]), (1, None), (2, []), (3, [7])], "row long, m array<int>")
     for func in ("sum", "nanargmax", "cumsum", "sort"):
