@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 TOKEN = re.compile(r"[a-z0-9]+")
-#: The rules travel to the executors with the task; their number is checked against this bound.
+#: Rules of one index, which travels to the executors with the task. Longer lists are judged by several
+#: indexes, one after the other.
 MOST_RULES = 200_000
+#: Compiled expressions that a worker keeps.
+MOST_COMPILED = 20_000
 
 # Host and path rules with their verdicts.
 HOST_RULES = [
@@ -35,6 +38,11 @@ HOST_RULES = [
 SPAM_WORDS = ["adult", "betting", "casino", "escort", "jackpot", "nude", "phishing", "poker", "porn", "viagra", "warez", "xxx"]
 
 
+#: Every host rule is heavier than every word rule.
+HOST_WEIGHT = 1_000_000
+BEST = T.StructType([T.StructField("weight", T.LongType()), T.StructField("name", T.StringType()), T.StructField("verdict", T.StringType())])
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -48,7 +56,7 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     """A rule for a host and its subdomains, and paths that start with `path`. Path tokens count only
     where the rule itself ends them."""
     ended = TOKEN.findall(path.lower()) if not path or not path[-1].isalnum() else TOKEN.findall(path.lower())[:-1]
-    return Rule(host + path, rf"(?:[^/]*\.)?{re.escape(host)}(?={re.escape(path)}){re.escape(path)}" if path else rf"(?:[^/]*\.)?{re.escape(host)}(?=/|$)", (*TOKEN.findall(host.lower()), *ended), verdict, 1_000_000 + len(host + path))
+    return Rule(host + path, rf"(?:[^/]*\.)?{re.escape(host)}(?={re.escape(path)}){re.escape(path)}" if path else rf"(?:[^/]*\.)?{re.escape(host)}(?=/|$)", (*TOKEN.findall(host.lower()), *ended), verdict, HOST_WEIGHT + len(host + path))
 
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
@@ -56,25 +64,36 @@ def word_rule(word: str, verdict: str = "block") -> Rule:
 
 
 class Index:
-    """Rules under their rarest token; a rule of no token is a candidate for every url."""
+    """Rules under their rarest token; a rule of no token is a candidate for every url. An expression is
+    compiled when its rule is first a candidate, so the index travels as plain text."""
 
     def __init__(self, rules: Iterable[Rule]) -> None:
         rules = list(rules)
         if len(rules) > MOST_RULES:
-            raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are sent to the executors")
+            raise ValueError(f"{len(rules)} rules; an index holds at most {MOST_RULES}")
         often = Counter(t for r in rules for t in set(r.tokens))
-        self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
+        self.by_token: dict[str, list[Rule]] = defaultdict(list)
+        self._compiled: dict[str, re.Pattern] = {}
         for r in rules:
             rarest = min(r.tokens, key=lambda t: (often[t], -len(t), t), default="")
-            self.by_token[rarest].append((r, re.compile(r.pattern, re.DOTALL)))
+            self.by_token[rarest].append(r)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_compiled": {}}
+
+    def candidates(self, url: str) -> list[Rule]:
+        return [r for t in {"", *TOKEN.findall(url.lower())} if t in self.by_token for r in self.by_token[t]]
 
-    def candidates(self, url: str) -> list[tuple[Rule, re.Pattern]]:
-        return [x for t in {"", *TOKEN.findall(url.lower())} if t in self.by_token for x in self.by_token[t]]
+    def fits(self, rule: Rule, url: str) -> bool:
+        if (pattern := self._compiled.get(rule.pattern)) is None:
+            if len(self._compiled) >= MOST_COMPILED:
+                self._compiled.clear()
+            pattern = self._compiled[rule.pattern] = re.compile(rule.pattern, re.DOTALL)
+        return pattern.match(url) is not None
 
     def best(self, url: str) -> Rule | None:
         """The heaviest rule that matches from the start of `host/path`; ties by name."""
-        found = [r for r, p in self.candidates(url) if p.match(url)]
-        return max(found, key=lambda r: (r.weight, r.name), default=None)
+        return max((r for r in self.candidates(url) if self.fits(r, url)), key=lambda r: (r.weight, r.name), default=None)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -88,21 +107,31 @@ def judged(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     """`pages` with host, path, rule and verdict in columns __host, __path, __rule, __verdict.
 
     The longest host rule decides; else a word rule blocks (its own name isn't returned); else the url
-    is allowed. Null and empty urls fit no rule and are allowed. No shuffle: each url is judged where it
-    is read.
+    is allowed. Null and empty urls fit no rule and are allowed; urls of any length are judged whole, repeated ones
+    each by itself; an empty table gives none. No shuffle: each url is judged where it is read. Of more than
+    MOST_RULES rules each index of so many finds its best, a pass and a written table each, and the best of
+    all decides. Columns of the names above are overwritten.
     """
-    index = Index([*(host_rule(*r) for r in rules), *(word_rule(w) for w in words)])
-    hosts = {h + p for h, p, _ in rules}
+    every = [*(host_rule(*r) for r in rules), *(word_rule(w) for w in words)]
+    host, path = host_and_path(F.col(url))
+    out = pages.withColumns({"__host": host, "__path": path, "__best": F.lit(None).cast(BEST)})
+    for lo in range(0, len(every), MOST_RULES):
+        out = out.withColumn("__best", F.greatest("__best", _judge(Index(every[lo : lo + MOST_RULES]))("__host", "__path")))
+        if lo + MOST_RULES < len(every):
+            out = written(out, "judged")
+    named = F.when(F.col("__best.weight") >= HOST_WEIGHT, F.col("__best.name"))
+    return out.withColumns({"__rule": named, "__verdict": F.coalesce("__best.verdict", F.lit("allow"))}).drop("__best")
+
+
+def _judge(index: Index) -> Callable[..., Column]:
+    """The best rule of an index; heavier structs are greater, and of equal weights the later name."""
 
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for host, path in batches:
             found = [index.best(h + p) for h, p in zip(host, path, strict=True)]
-            yield pd.DataFrame({"rule": [r.name if r and r.name in hosts and r.weight >= 1_000_000 else None for r in found], "verdict": [r.verdict if r else "allow" for r in found]}, dtype=object)
+            yield pd.DataFrame({"weight": pd.array([r.weight if r else 0 for r in found], dtype="int64"), "name": [r.name if r else "" for r in found], "verdict": [r.verdict if r else "allow" for r in found]})
 
-    udf = F.pandas_udf(judge, T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
-    host, path = host_and_path(F.col(url))
-    split = pages.withColumns({"__host": host, "__path": path})
-    return split.withColumn("__judged", udf("__host", "__path")).withColumns({"__rule": F.col("__judged.rule"), "__verdict": F.col("__judged.verdict")}).drop("__judged")
+    return F.pandas_udf(judge, BEST)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

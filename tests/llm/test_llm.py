@@ -184,13 +184,32 @@ def test_url_rules():
     index = url_filter.Index([url_filter.host_rule(*r) for r in url_filter.HOST_RULES])
     name = lambda u: (r := index.best(u)) and r.name
     assert [name(u) for u in ("a.com/", "example.com/en/x", "www.example.com/en/", "x.net/es/", "notnet/es/", "x.net/en/", "a.com", "example.com.evil/en/")] == ["com/", "example.com/en/", "www.example.com/en/", "net/es/", None, None, None, None]
-    brute = [(url_filter.Rule("r", p, (), "block", 1), re.compile(p)) for p in (r.pattern for rs in index.by_token.values() for r, _ in rs)]
+    brute = [(url_filter.Rule("r", p, (), "block", 1), re.compile(p)) for p in (r.pattern for rs in index.by_token.values() for r in rs)]
     for u in ("m.example.com/en/1", "example.com/", "b.net/fr/2"):
         assert (index.best(u) is not None) == any(p.match(u) for _, p in brute)
     with pytest.raises(ValueError):
         url_filter.Index([url_filter.word_rule("x")] * (url_filter.MOST_RULES + 1))
 
 
+def test_many_url_rules(spark, monkeypatch):
+    """More rules than one index holds are judged as by brute force."""
+    rng = np.random.default_rng(1)
+    names = [f"h{k}" for k in range(40)]
+    rules = [(".".join(rng.choice(names, 2)) + ".org", f"/{rng.choice(names)}/" if k % 3 else "", str(rng.choice(["allow", "block"]))) for k in range(300)]
+    rules = list({(h, p): v for h, p, v in rules}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [f"http://{rng.choice(names)}.{h}{p}{'x' * (k % 2)}" for k, (h, p, _) in enumerate(rules)] + [f"http://{'.'.join(rng.choice(names, 2))}.org/{rng.choice(names)}/" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(url_filter, "MOST_RULES", 100)
+    monkeypatch.setattr(url_filter, "MOST_COMPILED", 5)
+    got = {r["page_id"]: (r["__rule"], r["__verdict"]) for r in url_filter.judged(df, rules=rules).collect()}
+    for k, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and (("/" + path).startswith(p) if _ else not p)]
+        assert got[k] == (max(fit)[1:] if fit else (None, "allow"))
+    assert len({r for r, _ in got.values()}) > 100
+
+
 def test_urls_odd(spark):
     urls = [None, "", "no host", "HTTP://WWW.Example.COM/en/?q", "http://a.net/fr/#x", "http://poker.org/p", "x://"]
     got = [r[:] for r in url_filter.judged(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")).orderBy("page_id").select("__host", "__path", "__rule", "__verdict").collect()]
