@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
-from foldwise.llm.common import table, written
+from foldwise.llm.common import in_small_batches, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold, by a machine fitted on the folder's labels outside the held-out
     third. Null and empty texts are clean; repeated rows stay or go together; a null id is never labelled."""
+    in_small_batches(spark)
     scored = toxicity.scored(docs, toxicity.fitted(spark, sf_dir, docs))
     return scored.where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
@@ -30,6 +31,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies: five-word shingles, an exact similarity of 0.8 or
     more. Texts of no words are one group; rows of null ids stay; rows that repeat an id stay together."""
+    in_small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -41,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the SentencePiece ids of each document; null and empty texts have no ids."""
+    in_small_batches(spark)
     return sentencepiece.with_ids(docs, sentencepiece.model_path()).select("doc_id", "lang", "source", "token_ids")
 
 

@@ -67,6 +67,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Workers of this session get their rows in Arrow batches of about `most` bytes, where no bound is set: each
+    running task holds its batch in the JVM and again in the worker, and Spark's own bound is 64 MB of 10000 rows.
+    It stays set, for plans run later. A longer row is a batch of its own; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
     """The C library, told to give large blocks back as soon as they are freed."""

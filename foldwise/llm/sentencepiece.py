@@ -23,6 +23,8 @@ from .words import Pieces, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Characters that the tokenizer gets in one call; a longer text goes whole, in a call of its own.
+AT_ONCE = 1 << 16
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -128,8 +130,12 @@ class Codec:
         return [x[4:] for x in sorted(found)]
 
     def _batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, encoded AT_ONCE characters at a time: encodings take many times the room of their ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at each call; another operator may have run in this worker
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo, hi in slices(texts, AT_ONCE):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with its marker: many in one text, which part where a piece has the marker."""
@@ -185,7 +191,7 @@ def with_ids(docs: DataFrame, model: str, text: str = "text", ids: str = "token_
         c = codec(model)
         for whole in batches:
             texts = [t or "" for t in whole.column(at).to_pylist()]
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts):
                 found = c.encode(texts[lo:hi])
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))

@@ -520,6 +520,53 @@ def test_pipeline_odd(spark, odd):
                 assert {r["__size"] for r in rows} == {7}
 
 
+def test_sentencepiece_calls(monkeypatch):
+    """Ids don't depend on how many characters go to the tokenizer at once, and few do."""
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls.append(list(map(len, texts)))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    texts = [" ".join(f"w{n}x{k}" for n in range(2000)) for k in range(20)] + [" two  spaces " * 9000, "", "x" * 70_000] + ["a  b", "Été  日本"] * 20_000
+    found = []
+    for most in (1 << 30, sentencepiece.AT_ONCE):
+        monkeypatch.setattr(sentencepiece, "AT_ONCE", most)
+        c = sentencepiece.Codec(sentencepiece.model_path())
+        c.tokenizer = Counted(c.tokenizer)
+        found.append([x.tolist() for x in c.encode(texts)])
+    assert found[0] == found[1]
+    assert all(sum(call) <= sentencepiece.AT_ONCE or len(call) == 1 for call in c.tokenizer.calls)
+    assert sum(map(sum, c.tokenizer.calls)) > 4 * sentencepiece.AT_ONCE
+
+
+def test_pipeline_batches(spark):
+    """Each Python stage of the pipeline bounds what workers get at once, and leaves a bound that is set."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = table(spark, SF, "documents").where("doc_id < 20")
+    texts = spark.range(0, 20_000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+
+    def largest():
+        return texts.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+
+    try:
+        for name in ("toxicity", "near_dedup", "sentencepiece"):
+            spark.conf.unset(key)
+            assert largest() > 9_000_000
+            dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+            assert largest() < 5_000_000, name
+        spark.conf.set(key, "8m")
+        dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, SF)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_shared_folder_is_left_empty(tmp_path):
     """An application takes its tables along, and workers find the package wherever it is started."""
     import subprocess
